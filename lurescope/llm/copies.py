@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope.llm.urlkeys import decoded, letters, plain, wide_hash, with_key
 from lurescope.session import table
 
-#: The letter groups whose counts make up the histogram; each group is one pass over the text.
-GROUPS = ("aeiou", "bcdfg", "hjklm", "npqrs", "tvwxyz", "01234", "56789")
-
+def invariant(url: Column) -> Column:
+    """Length and letter histogram of the stripped text in one number: equal for all copies, whatever the order of parts.
 
-def with_invariants(df: DataFrame, url: str) -> DataFrame:
-    """Adds length and coarse letter histogram of the stripped text: equal for all copies, whatever the order of parts."""
-    stripped = df.withColumn("_bare", letters(decoded(plain(F.col(url)))))
-    counts = [F.length("_bare") - F.length(F.translate("_bare", g, "")) for g in GROUPS]
-    packed = reduce(lambda a, c: a * 512 + c % 512, counts, F.lit(0).cast("bigint"))
-    return stripped.select("*", F.length("_bare").alias("_length"), packed.alias("_histogram")).drop("_bare")
+    Every letter adds one to the upper part and its own hash to the lower, so the sum depends on the counts of the
+    letters alone.
+    """
+    add = lambda total, c: total.bitwiseAND((1 << 62) - 1) + F.xxhash64(c).bitwiseAND((1 << 42) - 1) + (1 << 44)
+    return F.aggregate(F.split(letters(decoded(plain(url))), ""), F.lit(0).cast("bigint"), add)
 
 
 def refine(rows: DataFrame, classes: list[str]) -> DataFrame:
@@ -40,7 +36,7 @@ def copy_classes(df: DataFrame, id_col: str, url: str, within: list[str] | None
     """
     within = within or []
     rows = df.select(*within, F.col(id_col).alias("_id"), F.col(url).alias("_url")).filter("_id is not null and _url is not null")
-    likely = refine(with_invariants(rows, "_url"), [*within, "_length", "_histogram"])
+    likely = refine(rows.withColumn("_class", invariant(F.col("_url"))), [*within, "_class"])
     keyed = with_key(likely, "_url", "_key").select(*within, "_id", *wide_hash(F.col("_key")))
     classes = [*within, "k1", "k2"]
     members = keyed.distinct()

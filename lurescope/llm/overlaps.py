@@ -12,7 +12,6 @@ from lurescope.session import table
 EDITS = 3
 #: Signatures with more training keys than this are refined; it bounds the comparisons of one probe, never the result.
 HOT = 256
-SYMBOLS = [*"abcdefghijklmnopqrstuvwxyz", "01", "23", "45", "67", "89"]
 
 
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
@@ -31,12 +30,9 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
 
 
 def with_sketch(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``sketch``: a bit for the parity of each letter's or digit pair's count; an edit changes at most two bits."""
-    bits = F.lit(0)
-    for k, symbols in enumerate(SYMBOLS):
-        odd = (F.length(text) - F.length(F.translate(text, symbols, ""))).bitwiseAND(1)
-        bits = bits.bitwiseOR(F.shiftleft(odd, k))
-    return df.withColumn("sketch", bits)
+    """Adds ``sketch``: letters hashed to 32 bits, each the parity of its letters' count; an edit changes at most two bits."""
+    flip = lambda bits, c: bits.bitwiseXOR(F.shiftleft(F.lit(1), F.xxhash64(c).bitwiseAND(31).cast("int")))
+    return df.withColumn("sketch", F.aggregate(F.split(text, ""), F.lit(0), flip))
 
 
 def indexed(keys: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -67,7 +63,7 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int = EDITS, hot: int =
     may lie. A hash with more than HOT texts of LEFT isn't joined: its texts go on without the segment they share, in
     a room of their own, where the rest must again hold a segment unchanged, until the rooms are small or the texts
     short. So no bucket is compared as a whole, however many texts share a site or a phrase, and none is lost.
-    Candidates are thinned by the parity sketch, which no pair within EDITS edits fails.
+    Candidates are thinned by the sketch, which no pair within EDITS edits fails.
     """
     found = None
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("_sketch"))) <= 2 * edits
