@@ -31,8 +31,7 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
 
 def with_sketch(df: DataFrame, text: str) -> DataFrame:
     """Adds ``sketch``: letters hashed to 32 bits, each the parity of its letters' count; an edit changes at most two bits."""
-    flip = lambda bits, c: bits.bitwiseXOR(F.shiftleft(F.lit(1), F.xxhash64(c).bitwiseAND(31).cast("int")))
-    return df.withColumn("sketch", F.aggregate(F.split(text, ""), F.lit(0), flip))
+    return df.withColumn("sketch", F.expr(f"aggregate(split({text}, ''), 0, (bits, c) -> bits ^ shiftleft(1, cast(xxhash64(c) & 31 as int)))"))
 
 
 def indexed(keys: DataFrame, edits: int = EDITS) -> DataFrame:
