@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from lurescope.llm import consensus, copies, groups, overlaps
+from lurescope.llm import consensus, copies, groups, mixing, overlaps, packing
 
-QUERIES = {**consensus.QUERIES, **copies.QUERIES, **groups.QUERIES, **overlaps.QUERIES}
+QUERIES = {**consensus.QUERIES, **copies.QUERIES, **groups.QUERIES, **overlaps.QUERIES, **packing.QUERIES, **mixing.QUERIES}
 SQL: dict[str, str] = {}
