@@ -1,4 +1,373 @@
 """Every query of the engine by name, with the SQL that states the same."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lurescope.functions import scores
+from lurescope.functions.rules import RULES, hit
+from lurescope.functions.scripts import markup_flags, with_script_signals
+from lurescope.functions.urls import char_tokens, code_sum, for_corpus, for_parsing, with_domain
+from lurescope.operators import dataset, dom, evaluation, fusion, graph, panel, vectors
+from lurescope.plans.oracle import SNIPPETS, SQL  # noqa: F401
+from lurescope.session import table
+from lurescope.sources.pages import crawled
+from lurescope.sources.registry import latest_deliveries, opened_scores
+from lurescope.streaming.scoring import drift_stream
+
+MAIN = "merged_phishing_multimodal_dataset"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[make.__name__] = make
+    return make
+
+
+def training(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, MAIN)
+
+
+def urls(spark: SparkSession, d: str) -> DataFrame:
+    return training(spark, d).select("record_id", "url")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """``page_id, url, html``: the documents' whole texts behind a snippet of markup."""
+    n = len(SNIPPETS)
+    html = F.when(F.col("doc_id") % (n + 2) == n, F.col("text"))
+    for k, snippet in enumerate(SNIPPETS):
+        html = html.when(F.col("doc_id") % (n + 2) == k, F.concat(F.lit(snippet), F.coalesce("text", F.lit(""))))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://"), "site_host").alias("url"), html.otherwise("").alias("html"))
+
+
+def panel_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = training(spark, d).select("record_id", "url", "sfh_external", "iframe_hidden", "url_of_anchor_ratio")
+    return fusion.with_lexical(rows)
+
+
+def ruled(spark: SparkSession, d: str, rule: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    return urls(spark, d).withColumn("_u", F.lower("url")).select("record_id", *scores.columns(rule(F.col("_u"))))
+
+
+@query
+def url_lexical_features(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.with_lexical(urls(spark, d)).drop("url", "domain")
+
+
+@query
+def url_host_extract(spark: SparkSession, d: str) -> DataFrame:
+    staged = with_domain(urls(spark, d))
+    return staged.select("record_id", "domain", for_corpus(F.col("url")).alias("corpus_url"), for_parsing(F.col("url")).alias("parsed_url"))
+
+
+@query
+def url_length_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.with_lexical(urls(spark, d)).groupBy("url_length_score").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("url_length"), 6).alias("mean_length"))
+
+
+@query
+def keyword_intent_flags(spark: SparkSession, d: str) -> DataFrame:
+    staged = urls(spark, d).withColumn("_u", F.lower("url"))
+    return staged.select("record_id", *[hit(r, F.col("url") if r == "browser_fallback" else F.col("_u")).cast("int").alias(r) for r in RULES])
+
+
+@query
+def js_signal_counts(spark: SparkSession, d: str) -> DataFrame:
+    return with_script_signals(pages(spark, d), "html").drop("url", "html")
+
+
+@query
+def html_string_flags(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", *scores.columns(markup_flags(F.coalesce("html", F.lit("")))))
+
+
+@query
+def dom_node_list(spark: SparkSession, d: str) -> DataFrame:
+    return dom.dom_nodes(pages(spark, d), "page_id", "html")
+
+
+@query
+def dom_structure_features(spark: SparkSession, d: str) -> DataFrame:
+    return dom.dom_features(pages(spark, d), "page_id", "html", "url")
+
+
+@query
+def dom_graph_stats(spark: SparkSession, d: str) -> DataFrame:
+    return dom.graph_stats(pages(spark, d), "page_id", "html", "url")
+
+
+@query
+def dom_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return dom.graph_edges(dom.node_features(pages(spark, d), "page_id", "html", "url"), "page_id")
+
+
+@query
+def graph_model_scores(spark: SparkSession, d: str) -> DataFrame:
+    return graph.graph_scores(dom.node_features(pages(spark, d), "page_id", "html", "url"), "page_id")
+
+
+@query
+def training_graphs(spark: SparkSession, d: str) -> DataFrame:
+    return graph.template_graph(training(spark, d), "record_id").select("record_id", "node", F.array_join(F.transform("x", lambda v: F.round(v, 6).cast("string")), ",").alias("x"))
+
+
+@query
+def crawled_pages(spark: SparkSession, d: str) -> DataFrame:
+    return crawled(urls(spark, d)).select("record_id", "domain", "scheme", "html_length", F.element_at("headers", "server").alias("server"))
+
+
+@query
+def whois_rules(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.whois)
+
+
+@query
+def ssl_rules(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.ssl)
+
+
+@query
+def threat_intel_rules(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.threat_intel)
+
+
+@query
+def classical_ensemble_score(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.classical)
+
+
+@query
+def anomaly_score(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.anomaly)
+
+
+@query
+def text_intent_score(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.text_intent)
+
+
+@query
+def brand_match_score(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.brand_logo)
+
+
+@query
+def layout_match_score(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.page_layout)
+
+
+@query
+def image_hash_score(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.with_image_hash(urls(spark, d)).drop("url")
+
+
+@query
+def hybrid_visual_verdict(spark: SparkSession, d: str) -> DataFrame:
+    staged = vectors.with_image_hash(urls(spark, d)).withColumn("_u", F.lower("url"))
+    staged = staged.select("record_id", "image_score", "image_phishing", *scores.columns({**scores.brand_logo(F.col("_u")), **scores.page_layout(F.col("_u"))}))
+    bad = F.col("image_phishing") | (F.col("logo_similarity") > 0.85)
+    visual = scores.visual_score(F.col("image_score"), F.col("logo_score"), F.col("layout_score"))
+    return staged.select("record_id", F.when(bad, "PHISHING").otherwise("BENIGN").alias("verdict"), visual.alias("visual_score"), F.when(bad, F.col("brand")).otherwise("None").alias("brand"))
+
+
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    return panel.fan_out(panel.with_points(panel_rows(spark, d)), table(spark, d, "engines"))
+
+
+@query
+def engine_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "engines").select("ord", F.regexp_replace(F.lower("name"), "[^a-z0-9]", "").alias("engine_id"), "name", "developer", "weight", "reliability", code_sum(F.col("name")).alias("name_sum"))
+
+
+@query
+def engine_fanout_scores(spark: SparkSession, d: str) -> DataFrame:
+    return votes(spark, d).select("record_id", "engine", F.round("score", 6).alias("score"), "verdict")
+
+
+@query
+def engine_lookup_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return panel.matched_engines(table(spark, d, "engine_results").withColumnRenamed("engine", "asked"), table(spark, d, "engines"), "asked")
+
+
+@query
+def consensus_pooling(spark: SparkSession, d: str) -> DataFrame:
+    return panel.pooled(votes(spark, d), ["record_id"])
+
+
+@query
+def engine_comparison(spark: SparkSession, d: str) -> DataFrame:
+    answers = table(spark, d, "engine_results").select("scan_id", F.col("threat_score").alias("score"), "verdict")
+    return panel.compared(answers, ["scan_id"], 6)
+
+
+@query
+def evidence_top4(spark: SparkSession, d: str) -> DataFrame:
+    return panel.evidence(votes(spark, d), ["record_id"])
+
+
+def reports(spark: SparkSession, d: str, image: bool = False) -> DataFrame:
+    rows = training(spark, d).select("record_id", "url", "sfh_external", "iframe_hidden", "url_of_anchor_ratio")
+    if image:
+        rows = vectors.with_image_hash(rows).withColumnRenamed("image_score", "_image").drop("image_nearest", "image_distance", "image_phishing")
+    return fusion.fused(fusion.with_scores(rows, table(spark, d, "engines"), image=F.col("_image") if image else None))
+
+
+REPORT = ["record_id", "llm_score", "visual_score", "intel_score", "verdict", "threat_score", "risk_level", "attack_category", "confidence", "action"]
+
+
+@query
+def fusion_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return reports(spark, d).withColumn("intel_score", F.round("intel_score", 6)).select(*REPORT)
+
+
+@query
+def fusion_verdict_image(spark: SparkSession, d: str) -> DataFrame:
+    return reports(spark, d, image=True).select(*REPORT)
+
+
+@query
+def attack_category(spark: SparkSession, d: str) -> DataFrame:
+    return reports(spark, d).groupBy("attack_category", "risk_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def evidence_matrix_long(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.evidence_matrix(reports(spark, d), "record_id")
+
+
+@query
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.as_json(reports(spark, d), "record_id")
+
+
+@query
+def batch_scan_report(spark: SparkSession, d: str) -> DataFrame:
+    scans = table(spark, d, "scan_results").select(F.col("target_url").alias("url"))
+    return fusion.batch_scan(scans, table(spark, d, "engines"))
+
+
+@query
+def class_balance(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.balance(training(spark, d))
+
+
+@query
+def class_balance_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.balance(training(spark, d), ["dataset_source"])
+
+
+@query
+def drift_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.drift(training(spark, d), ["dataset_source"])
+
+
+@query
+def drift_overall(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.drift(training(spark, d))
+
+
+@query
+def drift_daily(spark: SparkSession, d: str) -> DataFrame:
+    return drift_stream(training(spark, d).filter("collected_at is not null"), "collected_at", "label")
+
+
+@query
+def dataset_preview(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.preview(training(spark, d).select("record_id", "url", "label"), "record_id")
+
+
+@query
+def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.confusion(training(spark, d), "url_of_anchor_ratio", "label")
+
+
+@query
+def per_source_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.accuracy_by(training(spark, d), "url_of_anchor_ratio", "label", ["dataset_source"])
+
+
+@query
+def roc_auc(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.roc_auc(training(spark, d), "url_of_anchor_ratio", "label")
+
+
+@query
+def reviewed_scan_quality(spark: SparkSession, d: str) -> DataFrame:
+    scans = latest_deliveries(table(spark, d, "scan_results").select("id", "overall_threat_score", "ingested_at"), "id", "ingested_at")
+    truth = table(spark, d, "scan_labels").select(F.col("scan_id").alias("id"), (F.col("verdict") == "PHISHING").cast("int").alias("label"))
+    return evaluation.confusion(scans.join(truth, "id"), "overall_threat_score", "label", cut_at=50.0)
+
+
+@query
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.stratified(training(spark, d).select("record_id", "dataset_source", "label"), ["dataset_source", "label"], "record_id", 3, F.col("record_id"))
+
+
+@query
+def ordered_split(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.ordered_split(training(spark, d).select("record_id"), "record_id")
+
+
+@query
+def shuffled_split(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.ordered_split(training(spark, d).select("record_id"), "record_id", shuffled=42)
+
+
+@query
+def source_union(spark: SparkSession, d: str) -> DataFrame:
+    frames = {"training": training(spark, d).select("url"), "scans": table(spark, d, "scan_results").select(F.col("target_url").alias("url"))}
+    return dataset.union_of(frames).groupBy("dataset_source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("url")).alias("chars"))
+
+
+@query
+def scan_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    scans = table(spark, d, "scan_results").select("id", "target_url", "verdict", "overall_threat_score", "ingested_at")
+    return latest_deliveries(scans, "id", "ingested_at").drop("ingested_at")
+
+
+@query
+def scan_modality_scores(spark: SparkSession, d: str) -> DataFrame:
+    each = opened_scores(table(spark, d, "scan_results").distinct()).select(F.inline("scores"))
+    return each.groupBy("key").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean_score"))
+
+
+@query
+def nearest_reference_vector(spark: SparkSession, d: str) -> DataFrame:
+    vecs = table(spark, d, "embeddings")
+    refs = vecs.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
+    found = vectors.nearest(vecs, "vec_id", "embedding", refs, "label", "ref", "label")
+    return found.select("vec_id", "nearest", F.round("distance", 4).alias("distance"))
+
+
+@query
+def pooled_embedding(spark: SparkSession, d: str) -> DataFrame:
+    pooled = graph.pooled_vectors(table(spark, d, "embeddings"), ["label"], "embedding", 64)
+    return pooled.select("label", F.posexplode("pooled").alias("dim", "value")).select("label", "dim", F.round("value", 5).alias("value"))
+
+
+@query
+def graph_degree_density(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    each = graph.degrees(edges, "src", "dst")
+    total = each.agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("ends"), F.max("degree").alias("most"))
+    return total.select("nodes", F.col("ends").alias("edges_both_ways"), "most", F.round(graph.density(F.col("nodes"), F.col("ends")), 9).alias("density"))
+
+
+@query
+def message_passing_sum(spark: SparkSession, d: str) -> DataFrame:
+    edges, parts = table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), table(spark, d, "part")
+    return graph.message_sum(edges, parts, "l_partkey", "l_suppkey", "p_partkey", "p_retailprice").select("l_suppkey", F.round("message", 2).alias("message"))
+
+
+@query
+def char_token_rows(spark: SparkSession, d: str) -> DataFrame:
+    return urls(spark, d).select("record_id", F.array_join(F.transform(char_tokens(F.col("url")), lambda c: c.cast("string")), ",").alias("tokens"), code_sum(F.col("url")).alias("code_sum"))
+
+
+@query
+def synthetic_training_set(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.synthetic_features(training(spark, d).select("record_id", "url", "label"), "record_id")
