@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurescope.plans.ranking import buckets_for, running
+
 
 def confusion(df: DataFrame, prob: str, label: str, keys: list[str] | None = None, cut_at: float = 0.5) -> DataFrame:
     """tp, fp, tn, fn and accuracy, precision, recall, F1 in percent (per KEYS), and Matthews' correlation.
@@ -32,8 +34,12 @@ def accuracy_by(df: DataFrame, prob: str, label: str, keys: list[str], cut_at: f
 
 
 def roc_auc(df: DataFrame, prob: str, label: str) -> DataFrame:
-    """Area under the ROC curve with ties counted half: one sum per distinct score, then sums along the scores."""
-    scores = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull()).groupBy(prob).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = scores.withColumn("_won", F.col("p") * (below + F.col("n") / 2))
-    return area.agg(F.round(F.sum("_won") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)), 6).alias("roc_auc"))
+    """Area under the ROC curve with ties counted half: one row per distinct score, then sums along the scores in buckets."""
+    rows = df.select(F.col(prob).cast("double").alias("_score"), F.col(label).alias("_label")).filter("_score is not null and _label is not null")
+    scores = rows.groupBy("_score").agg(F.count_if(F.col("_label") == 1).alias("_yes"), F.count_if(F.col("_label") != 1).alias("_no"))
+    low, high, n = rows.agg(F.min("_score"), F.max("_score"), F.count(F.lit(1))).first()
+    b = buckets_for(n)
+    bucket = F.floor((F.col("_score") - (low or 0.0)) / (((high or 0.0) - (low or 0.0)) or 1.0) * b).cast("bigint")
+    below = running(scores.withColumn("_all", F.lit(0)), ["_all"], bucket, [F.col("_score")], F.col("_no"), "_below")
+    area = below.withColumn("_won", F.col("_yes") * (F.col("_below") + F.col("_no") / 2))
+    return area.agg(F.round(F.sum("_won") / F.nullif(F.sum("_yes") * F.sum("_no"), F.lit(0)), 6).alias("roc_auc"))
