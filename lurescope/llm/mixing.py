@@ -47,6 +47,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     sums are pre-aggregated in buckets of the keys, so that a source with a third of all documents is never sorted in
     one task. Documents without tokens, id or source are not used.
     """
+    docs = docs.select("id", "source", "tokens", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-6)).alias("weight"))
     docs = docs.filter("tokens > 0 and id is not null and source is not null")
     stats = docs.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n"))
     plan = cut(plan_of(stats.select("source", "available"), targets, total_tokens).select("mix_name", "source", "repeats", "epochs", "rest"))

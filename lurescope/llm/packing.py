@@ -93,7 +93,7 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
 
 def pieces_of(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """``spec_id, capacity, id, piece, first_token, size``: a text is cut only where it exceeds the capacity."""
-    each = sizes.filter("tokens > 0").crossJoin(F.broadcast(specs))
+    each = sizes.select("id", "tokens").filter("id is not null and tokens > 0").crossJoin(F.broadcast(specs))
     each = each.withColumn("piece", F.explode(F.expr("sequence(0, cast((tokens - 1) div capacity as int))")))
     return each.select("spec_id", "capacity", "id", "piece", (F.col("piece") * F.col("capacity")).cast("bigint").alias("first_token"), F.least(F.col("capacity").cast("bigint"), F.expr("tokens - piece * cast(capacity as bigint)")).alias("size"))
 

@@ -18,7 +18,7 @@ def plain(url: Column) -> Column:
     Like all functions here it names its input once, so that the plan stays as small as the rule.
     """
     bare = F.lower(F.regexp_replace(url, BLANK, ""))
-    bare = F.regexp_replace(bare, r"&(?:amp;|#0*38;|#x0*26;)+", "&")
+    bare = F.regexp_replace(bare, r"&(?:amp;)+|&#(?:0*38|x0*26);", "&")
     return F.regexp_replace(bare, f"^(?!{SCHEME[1:]})", "http://")
 
 
