@@ -84,19 +84,28 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int = EDITS, hot: int =
         left, right = (cut(x.join(crowded, "sig", "left_semi").select("kid", rest.alias("text"), F.col("sig").alias("room"), "sketch").distinct()) for x in (index, look))
 
 
+#: Stand before each parameter and behind the last in a marked key; no canonical key holds them.
+PARAM, END = "\x01", "\x02"
+
+
 def keyed_rows(df: DataFrame, id_col: str, url: str) -> DataFrame:
-    """``id, text, ends, k1, k2``: the canonical key, the places in it where its parameters begin and end, its hashes."""
+    """``id, marked, k1, k2``: the canonical key with its parameters marked, and the hashes of the key itself."""
     parts = with_parts(df.select(F.col(id_col).alias("id"), F.col(url).alias("_url")).filter("id is not null and _url is not null"), "_url")
-    made = parts.select("id", F.concat("_head", F.array_join("_params", ""), "_tail").alias("text"), F.length("_head").alias("_at"), F.transform("_params", F.length).alias("_sizes"))
-    ends = F.aggregate("_sizes", F.array(F.col("_at")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return made.select("id", "text", ends.alias("ends"), *wide_hash(F.col("text")))
+    marked = F.concat("_head", F.array_join(F.transform("_params", lambda p: F.concat(F.lit(PARAM), p)), ""), F.lit(END), "_tail")
+    return parts.select("id", marked.alias("marked"), *wide_hash(F.concat("_head", F.array_join("_params", ""), "_tail")))
 
 
 def without_one(keys: DataFrame) -> DataFrame:
-    """``kid, k1, k2``: the hash of every key with one of its parameters left out."""
-    each = keys.filter("size(ends) > 1").withColumn("_i", F.explode(F.expr("sequence(0, size(ends) - 2)")))
-    text = F.expr("concat(substring(text, 1, ends[_i]), substring(text, ends[_i + 1] + 1))")
-    return each.select("kid", *wide_hash(text)).distinct()
+    """KEYS once for each of their parameters, with ``m1, m2``, the hash of the key without it."""
+    pieces = F.split(F.substring_index("marked", END, 1), PARAM)
+    each = keys.filter(F.col("marked").contains(PARAM)).withColumn("_pieces", pieces)
+    each = each.withColumn("_tail", F.substring_index("marked", END, -1)).withColumn("_i", F.explode(F.expr("sequence(2, size(_pieces))")))
+    text = F.expr("concat(array_join(slice(_pieces, 1, _i - 1), ''), array_join(slice(_pieces, _i + 1, size(_pieces)), ''), _tail)")
+    m1, m2 = wide_hash(text)
+    return each.select("k1", "k2", "t", "e", m1.alias("m1"), m2.alias("m2"))
+
+
+KINDS = ("same", "edit", "parameter")
 
 
 def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: str = "url", split_col: str = "split", train: str = "train", edits: int = EDITS) -> DataFrame:
@@ -104,35 +113,36 @@ def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: s
 
     Copies meet as one key, so that a group of copies of any size is compared once; ``kind`` is ``same``, ``edit``
     (at most EDITS letters or digits inserted, removed or replaced in the canonical key) or ``parameter`` (one has
-    one query parameter more); a pair that is both counts as ``edit``. Rows without an id, a URL or a split take no
-    part; a row listed in several splits takes part in each. Empty tables give an empty result; other columns are not
-    looked at.
+    one query parameter more), the first of them that holds. Rows without an id, a URL or a split take no part; a row
+    listed in several splits takes part in each, one that stands several times once. Empty tables give an empty
+    result; other columns are not looked at.
     """
     named = splits.select(F.col(id_col).alias("id"), F.lower(F.trim(split_col)).alias("_split")).filter("id is not null and _split is not null and _split != ''")
-    named = named.select("id", (F.col("_split") == train).alias("in_train")).distinct()
+    named = named.groupBy("id").agg(F.max(F.col("_split") == train).alias("t"), F.max(F.col("_split") != train).alias("e"))
     keyed = keyed_rows(df, id_col, url)
-    rows = cut(keyed.select("id", "k1", "k2").distinct().join(named, "id"))
-    sides = rows.groupBy("k1", "k2").agg(F.max("in_train").alias("t"), F.max(~F.col("in_train")).alias("e"))
-    texts = keyed.select("k1", "k2", "text", "ends").groupBy("k1", "k2").agg(F.min(F.struct("text", "ends")).alias("x"))
-    keys = texts.join(sides, ["k1", "k2"]).select("k1", "k2", "t", "e", "x.*", F.monotonically_increasing_id().alias("kid"))
-    keys = cut(with_sketch(keys, "text"))
+    rows = cut(keyed.select("id", "k1", "k2").join(named, "id"))
+    sides = rows.groupBy("k1", "k2").agg(F.max("t").alias("t"), F.max("e").alias("e"))
+    texts = keyed.select("k1", "k2", "marked").groupBy("k1", "k2").agg(F.min("marked").alias("marked"))
+    text = F.concat(F.replace(F.substring_index("marked", END, 1), F.lit(PARAM), F.lit("")), F.substring_index("marked", END, -1))
+    keys = texts.join(sides, ["k1", "k2"]).withColumn("kid", F.monotonically_increasing_id()).withColumn("text", text)
+    keys = cut(with_sketch(keys, "text").drop("text")).withColumn("text", text)
     room = F.lit(0).cast("bigint").alias("room")
     left, right = (keys.filter(s).select("kid", "text", room, "sketch") for s in ("t", "e"))
     candidates = near_pairs(left, right, edits)
-    of = lambda side, kid: keys.filter(side).select(F.col("kid").alias(kid), F.col("k1").alias(f"{kid}_1"), F.col("k2").alias(f"{kid}_2"), F.col("text").alias(f"{kid}_text"))
+    pair = lambda a, b, kind: [F.col(f"{a}1").alias("l1"), F.col(f"{a}2").alias("l2"), F.col(f"{b}1").alias("r1"), F.col(f"{b}2").alias("r2"), F.lit(KINDS.index(kind)).alias("kind")]
+    of = lambda side, kid: keys.filter(side).select(F.col("kid").alias(kid), F.col("k1").alias(f"_{kid}1"), F.col("k2").alias(f"_{kid}2"), F.col("text").alias(f"{kid}_text"))
     both = candidates.join(of("t", "left"), "left").join(of("e", "right"), "right")
-    edited = both.filter(F.levenshtein("left_text", "right_text", edits) >= 0).select("left_1", "left_2", "right_1", "right_2", F.lit("edit").alias("kind"))
-    whole = lambda side, name: keys.filter(side).select("k1", "k2", F.col("k1").alias(f"{name}_1"), F.col("k2").alias(f"{name}_2"))
-    dropped = without_one(keys.select("kid", "text", "ends")).join(keys.select("kid", "t", "e", F.col("k1").alias("_1"), F.col("k2").alias("_2")), "kid")
-    less = lambda side, name: dropped.filter(side).select("k1", "k2", F.col("_1").alias(f"{name}_1"), F.col("_2").alias(f"{name}_2"))
-    shorter = whole("t", "left").join(less("e", "right"), ["k1", "k2"]).unionByName(less("t", "left").join(whole("e", "right"), ["k1", "k2"]))
-    shorter = shorter.select("left_1", "left_2", "right_1", "right_2", F.lit("parameter").alias("kind"))
-    keyed_pairs = edited.unionByName(shorter).groupBy("left_1", "left_2", "right_1", "right_2").agg(F.min("kind").alias("kind"))
-    ours = rows.filter("in_train").select(F.col("id").alias("train_id"), F.col("k1").alias("left_1"), F.col("k2").alias("left_2"))
-    theirs = rows.filter("not in_train").select(F.col("id").alias("other_id"), F.col("k1").alias("right_1"), F.col("k2").alias("right_2"))
-    near = keyed_pairs.join(ours, ["left_1", "left_2"]).join(theirs, ["right_1", "right_2"]).select("train_id", "other_id", "kind")
-    same = ours.join(theirs, (F.col("left_1") == F.col("right_1")) & (F.col("left_2") == F.col("right_2"))).select("train_id", "other_id", F.lit("same").alias("kind"))
-    return same.unionByName(near)
+    edited = both.filter(F.levenshtein("left_text", "right_text", edits) >= 0).select(*pair("_left", "_right", "edit"))
+    same = keys.filter("t and e").select(*pair("k", "k", "same"))
+    whole = keys.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("t").alias("_t"), F.col("e").alias("_e"))
+    joined = without_one(keys).join(whole, ["m1", "m2"])
+    longer, shorter = (joined.filter(c).select(*pair(a, b, "parameter")) for c, a, b in (("t and _e", "k", "m"), ("_t and e", "m", "k")))
+    pairs = same.unionByName(edited).unionByName(longer).unionByName(shorter)
+    ours = rows.filter("t").select(F.col("id").alias("train_id"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
+    theirs = rows.filter("e").select(F.col("id").alias("other_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    found = pairs.join(ours, ["l1", "l2"]).join(theirs, ["r1", "r2"]).filter("train_id != other_id")
+    first = found.groupBy("train_id", "other_id").agg(F.min("kind").alias("kind"))
+    return first.select("train_id", "other_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("kind"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +150,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).filter("train_id != other_id")
+    pairs = _pairs(spark, sf_dir)
     return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()
 
 
