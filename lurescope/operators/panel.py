@@ -134,3 +134,23 @@ def matched_engines(asked: DataFrame, engines: DataFrame, name: str) -> DataFram
     hits = names.join(catalog, F.contains(F.col("_known"), F.col("_bare"))).groupBy(name).agg(F.min_by("engine", "ord").alias("engine"))
     first = catalog.agg(F.min_by("engine", "ord").alias("_first"))
     return names.join(hits, name, "left").crossJoin(first).select(name, F.coalesce("engine", "_first").alias("engine"))
+
+
+def parsed_answers(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``answer`` (score, verdict, reasoning) from the first block in braces of a model's raw reply, null if unreadable."""
+    block = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    fields = F.from_json(block, "threat_score double, verdict string, reasoning string")
+    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), fields["threat_score"]))
+    usable = fields["threat_score"].isNotNull() & F.upper(fields["verdict"]).isin("PHISHING", "LEGITIMATE")
+    return df.withColumn("answer", F.when(usable, F.struct(score.alias("score"), F.upper(fields["verdict"]).alias("verdict"), fields["reasoning"].alias("reasoning"))))
+
+
+def with_replies(votes: DataFrame, raw: str) -> DataFrame:
+    """VOTES in which a readable reply of the engine stands in for the rule score; an unreadable or missing one doesn't.
+
+    This is the seam for real engines: whatever fetches replies (a ``mapInPandas`` over a service, a table of earlier
+    replies) adds the column RAW. Nothing here calls a network.
+    """
+    read = parsed_answers(votes, raw)
+    names = {"score": "score", "verdict": "verdict", "reasons": "reasoning"}
+    return read.select(*[F.coalesce(F.col(f"answer.{names[c]}"), F.col(c)).alias(c) if c in names else F.col(c) for c in votes.columns if c != raw])

@@ -12,6 +12,7 @@ from lurescope.functions.rules import RULES, hit
 from lurescope.functions.scripts import markup_flags, with_script_signals
 from lurescope.functions.urls import char_tokens, code_sum, for_corpus, for_parsing, with_domain
 from lurescope.operators import dataset, dom, evaluation, fusion, graph, panel, vectors
+from lurescope.operators import training as learning
 from lurescope.plans.oracle import SNIPPETS, SQL  # noqa: F401
 from lurescope.session import table
 from lurescope.sources.pages import crawled
@@ -371,3 +372,20 @@ def char_token_rows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def synthetic_training_set(spark: SparkSession, d: str) -> DataFrame:
     return dataset.synthetic_features(training(spark, d).select("record_id", "url", "label"), "record_id")
+
+
+@query
+def trained_classifier_quality(spark: SparkSession, d: str) -> DataFrame:
+    return learning.retrained(training(spark, d).drop("url", "dataset_source", "collected_at"), "record_id")[1]
+
+
+@query
+def replied_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """The panel with the recorded answers of engines on training rows of the same address in place of rule scores."""
+    scans = latest_deliveries(table(spark, d, "scan_results").select("id", "target_url", "ingested_at"), "id", "ingested_at").select(F.col("id").alias("scan_id"), F.col("target_url").alias("url"))
+    answers = table(spark, d, "engine_results").select("scan_id", "engine", "verdict", "threat_score").groupBy("scan_id", "engine").agg(F.max(F.struct("threat_score", "verdict")).alias("a"))
+    raw = F.to_json(F.struct(F.col("a.threat_score").alias("threat_score"), F.col("a.verdict").alias("verdict")))
+    asked = fusion.with_lexical(scans.join(answers.select("scan_id").distinct(), "scan_id", "left_semi"))
+    given = answers.select("scan_id", "engine", raw.alias("reply"))
+    each = panel.fan_out(panel.with_points(asked), table(spark, d, "engines")).select("scan_id", "engine", "ord", "reliability", "score", "verdict", "reasons")
+    return panel.pooled(panel.with_replies(each.join(given, ["scan_id", "engine"], "left"), "reply"), ["scan_id"])

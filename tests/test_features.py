@@ -201,3 +201,20 @@ def test_registry(spark, tmp_path):
 def test_crawled(spark):
     r = crawled(spark.createDataFrame([("a.test/x", "")], "url string, html string"), html="html").first()
     assert (r.domain, r.scheme) == ("a.test", "http") and r.html_length == len(r.html_content) and "Welcome to a.test" in r.html_content
+
+
+def test_replies_stand_in_where_readable(spark):
+    rows = [("a", 10.0, "LEGITIMATE", "rule", 'so: {"threat_score": 120, "verdict": "phishing", "reasoning": "said"} end'), ("b", 10.0, "LEGITIMATE", "rule", "no json"), ("c", 10.0, "LEGITIMATE", "rule", None), ("d", 10.0, "LEGITIMATE", "rule", '{"verdict": "maybe", "threat_score": 1}')]
+    df = spark.createDataFrame(rows, "engine string, score double, verdict string, reasons string, reply string")
+    got = {r.engine: (r.score, r.verdict, r.reasons) for r in panel.with_replies(df, "reply").collect()}
+    assert got == {"a": (100.0, "PHISHING", "said"), **{k: (10.0, "LEGITIMATE", "rule") for k in "bcd"}}
+
+
+def test_training_measures_what_was_left_out(spark):
+    from lurescope.operators import training
+
+    df = dataset.synthetic_features(spark.range(400).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label")), "id")
+    df = df.withColumn("favicon", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("favicon")))
+    _, measures = training.retrained(df, "id")
+    r = measures.first()
+    assert 40 < r.tp + r.fp + r.tn + r.fn < 120 and r.accuracy > 95
