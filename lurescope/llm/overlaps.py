@@ -11,7 +11,7 @@ from lurescope.session import table
 
 EDITS = 3
 #: Signatures with more training keys than this are refined; it bounds the comparisons of one probe, never the result.
-HOT = 256
+HOT = 64
 
 
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
@@ -44,10 +44,15 @@ def indexed(keys: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def probing(keys: DataFrame, edits: int = EDITS) -> DataFrame:
-    """The same for texts that are looked up: every place where a segment of a text of any near length may lie."""
+    """The same for texts that are looked up: every place where a segment of a text of any near length may lie.
+
+    Where ``gap`` is known, the number of letters by which the text is longer than those of its room, only it counts.
+    """
     n = edits + 1
     where = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in probes(edits)])
-    each = keys.withColumn("_at", F.explode(where)).withColumn("_n", F.length("text") - F.col("_at.d"))
+    if "gap" in keys.columns:
+        where = F.filter(where, lambda x: x["d"] == F.col("gap"))
+    each = keys.withColumn("_at", F.explode(where)).withColumn("_n", F.length("text") - F.col("_at.d")).withColumn("gap", F.col("_at.d"))
     base, more = F.expr(f"_n div {n}"), F.expr(f"_at.i - ({n} - _n % {n})")
     each = each.withColumn("size", (base + (more >= 0).cast("int")).cast("int"))
     each = each.withColumn("start", (F.col("_at.i") * base + F.greatest(F.lit(0), more) + F.col("_at.s")).cast("int"))
@@ -61,7 +66,7 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int = EDITS, hot: int =
     Every text of LEFT is filed under the hashes of its edits + 1 segments, every text of RIGHT looks where a segment
     may lie. A hash with more than HOT texts of LEFT isn't joined: its texts go on without the segment they share, in
     a room of their own, where the rest must again hold a segment unchanged, until the rooms are small or the texts
-    short. So no bucket is compared as a whole, however many texts share a site or a phrase, and none is lost.
+    short; as a room has one length, a text looks there in a few places only. So no bucket is compared as a whole, however many texts share a site or a phrase, and none is lost.
     Candidates are thinned by the sketch, which no pair within EDITS edits fails.
     """
     found = None
@@ -81,7 +86,8 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int = EDITS, hot: int =
             drop(crowded)
             return found.distinct()
         rest = F.expr("concat(substring(text, 1, start), substring(text, start + size + 1))")
-        left, right = (cut(x.join(crowded, "sig", "left_semi").select("kid", rest.alias("text"), F.col("sig").alias("room"), "sketch").distinct()) for x in (index, look))
+        inner = ["kid", rest.alias("text"), F.col("sig").alias("room"), "sketch"]
+        left, right = (cut(x.join(crowded, "sig", "left_semi").select(*inner, *more).distinct()) for x, more in ((index, []), (look, ["gap"])))
 
 
 #: Stand before each parameter and behind the last in a marked key; no canonical key holds them.
