@@ -125,13 +125,14 @@ def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: s
     """
     named = splits.select(F.col(id_col).alias("id"), F.lower(F.trim(split_col)).alias("_split")).filter("id is not null and _split is not null and _split != ''")
     named = named.groupBy("id").agg(F.max(F.col("_split") == train).alias("t"), F.max(F.col("_split") != train).alias("e"))
-    keyed = keyed_rows(df, id_col, url)
+    keyed = cut(keyed_rows(df, id_col, url))
     rows = cut(keyed.select("id", "k1", "k2").join(named, "id"))
     sides = rows.groupBy("k1", "k2").agg(F.max("t").alias("t"), F.max("e").alias("e"))
     texts = keyed.select("k1", "k2", "marked").groupBy("k1", "k2").agg(F.min("marked").alias("marked"))
     text = F.concat(F.replace(F.substring_index("marked", END, 1), F.lit(PARAM), F.lit("")), F.substring_index("marked", END, -1))
     keys = texts.join(sides, ["k1", "k2"]).withColumn("kid", F.monotonically_increasing_id()).withColumn("text", text)
     keys = cut(with_sketch(keys, "text").drop("text")).withColumn("text", text)
+    drop(keyed)
     room = F.lit(0).cast("bigint").alias("room")
     left, right = (keys.filter(s).select("kid", "text", room, "sketch") for s in ("t", "e"))
     candidates = near_pairs(left, right, edits)
