@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -66,14 +68,15 @@ def bounded_rate(errors: Column, n: Column) -> Column:
 
 
 def weights(sums: DataFrame) -> DataFrame:
-    """Per annotator its error rates on both labels and what a claim of 1 or 0 adds to the log odds of an item."""
+    """Per annotator its error rates on both labels and what a claim of 1 or 0 adds to the log odds of an item.
+
+    SUMS is a written table; only its two totals, for the share of label 1, come to the driver.
+    """
     miss, alarm = bounded_rate(F.col("e1"), F.col("n1")), bounded_rate(F.col("e0"), F.col("n0"))
-    rated = sums.withColumn("miss", miss).withColumn("alarm", alarm)
-    total = sums.agg(F.sum("yes").alias("_yes"), F.sum("items").alias("_items"))
-    prior = F.log((F.col("_yes") + 0.5) / (F.col("_items") - F.col("_yes") + 0.5))
-    return rated.crossJoin(total).select(
-        "annotator", "answers", "miss", "alarm", F.log((1 - F.col("miss")) / F.col("alarm")).alias("for_yes"), F.log(F.col("miss") / (1 - F.col("alarm"))).alias("for_no"), prior.alias("prior")
-    )
+    yes, items = (x or 0.0 for x in sums.agg(F.sum("yes"), F.sum("items")).first())
+    prior = math.log((yes + 0.5) / (max(0.0, items - yes) + 0.5))
+    rated = sums.select("annotator", "answers", miss.alias("miss"), alarm.alias("alarm"))
+    return rated.select("*", F.log((1 - F.col("miss")) / F.col("alarm")).alias("for_yes"), F.log(F.col("miss") / (1 - F.col("alarm"))).alias("for_no"), F.lit(prior).alias("prior"))
 
 
 def believed(claims: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -112,13 +115,15 @@ def discover(claims: DataFrame, known: DataFrame | None = None, rounds: int = 25
     claims = cut(claims.join(one, "item", "left").select("item", "annotator", "x", "known"))
     held = claims.repartition("item").sortWithinPartitions("item").persist(StorageLevel.MEMORY_AND_DISK)
     start = held.withColumn("t", F.coalesce("known", F.avg("x").over(Window.partitionBy("item"))))
-    now = cut(weights(sums_of(start)))
+    sums = cut(sums_of(start))
+    now = weights(sums)
     for _ in range(rounds):
-        new = cut(weights(sums_of(believed(held, now))))
+        next_sums = cut(sums_of(believed(held, now)))
+        new = weights(next_sums)
         old = now.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a"))
         moved = new.join(old, "annotator").agg(F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))).first()[0]
-        drop(now)
-        now = new
+        drop(sums)
+        sums, now = next_sums, new
         if moved is None or moved < settled:
             break
     held.unpersist()

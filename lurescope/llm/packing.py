@@ -91,20 +91,22 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
     return steps, used
 
 
-def pieces_of(sizes: DataFrame, specs: DataFrame) -> DataFrame:
-    """``spec_id, capacity, id, piece, first_token, size``: a text is cut only where it exceeds the capacity."""
-    each = sizes.select("id", "tokens").filter("id is not null and tokens > 0").crossJoin(F.broadcast(specs))
-    each = each.withColumn("piece", F.explode(F.expr("sequence(0, cast((tokens - 1) div capacity as int))")))
-    return each.select("spec_id", "capacity", "id", "piece", (F.col("piece") * F.col("capacity")).cast("bigint").alias("first_token"), F.least(F.col("capacity").cast("bigint"), F.expr("tokens - piece * cast(capacity as bigint)")).alias("size"))
-
-
-def known_specs(specs: DataFrame, at_most: int = 1000) -> DataFrame:
+def known_specs(specs: DataFrame, at_most: int = 1000) -> list[tuple[int, int]]:
     """The usable container sizes (at most AT_MOST, else an error): spec_id and a capacity above 0; of repeats the largest."""
     rows = specs.select("spec_id", F.col("capacity_tokens").alias("capacity")).filter("spec_id is not null and capacity > 0")
     rows = rows.groupBy("spec_id").agg(F.max("capacity").alias("capacity")).limit(at_most + 1).collect()
     if len(rows) > at_most:
         raise ValueError(f"more than {at_most} container sizes")
-    return specs.sparkSession.createDataFrame([(r.spec_id, r.capacity) for r in rows], "spec_id int, capacity int")
+    return sorted((r.spec_id, r.capacity) for r in rows)
+
+
+def pieces_of(sizes: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
+    """``spec_id, capacity, id, piece, first_token, size``: a text is cut only where it exceeds the capacity."""
+    listed = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, c in specs])
+    empty = F.array().cast("array<struct<spec_id:int,capacity:int>>")
+    each = sizes.select("id", "tokens").filter("id is not null and tokens > 0").withColumn("_spec", F.explode(listed if specs else empty)).select("id", "tokens", "_spec.*")
+    each = each.withColumn("piece", F.explode(F.expr("sequence(0, cast((tokens - 1) div capacity as int))")))
+    return each.select("spec_id", "capacity", "id", "piece", (F.col("piece") * F.col("capacity")).cast("bigint").alias("first_token"), F.least(F.col("capacity").cast("bigint"), F.expr("tokens - piece * cast(capacity as bigint)")).alias("size"))
 
 
 def packed(sizes: DataFrame, specs: DataFrame) -> DataFrame:
@@ -115,9 +117,8 @@ def packed(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     piece of a size follows from its rank, which is counted in buckets without sorting a size in one task. Texts
     without tokens need no container and have no row. The steps of the packing are bounded by the capacities, too.
     """
-    specs = known_specs(specs)
     spark = sizes.sparkSession
-    pieces = pieces_of(sizes, specs)
+    pieces = pieces_of(sizes, known_specs(specs))
     counted = pieces.groupBy("spec_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n")).collect()
     histograms: dict[tuple[int, int], dict[int, int]] = {}
     for r in counted:

@@ -379,9 +379,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Make-up of the corpus: documents and characters of each subject, and their shares of all documents."""
     docs = table(spark, sf_dir, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
-    total = docs.agg(F.count(F.lit(1)).alias("_all"))
+    total = docs.count()
     counts = docs.join(_assigned(spark, sf_dir), "doc_id", "left").groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("chars").alias("chars"))
-    return counts.crossJoin(total).select(F.coalesce("subject", F.lit("(none)")).alias("subject"), "documents", F.coalesce("chars", F.lit(0)).alias("chars"), F.round(F.col("documents") / F.col("_all"), 9).alias("share"))
+    return counts.select(F.coalesce("subject", F.lit("(none)")).alias("subject"), "documents", F.coalesce("chars", F.lit(0)).alias("chars"), F.round(F.col("documents") / F.lit(max(1, total)), 9).alias("share"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_makeup": p7_makeup}
