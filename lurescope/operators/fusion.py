@@ -107,5 +107,5 @@ def as_json(report: DataFrame, key: str) -> DataFrame:
 def batch_scan(df: DataFrame, engines: DataFrame, url: str = "url", first: int | None = None, order: str | None = None) -> DataFrame:
     """``url, verdict, threat_score, risk_level`` of each URL; blanks are left out after the first FIRST rows are taken."""
     rows = df.orderBy(order).limit(first) if first is not None else df
-    rows = rows.select(F.trim(F.col(url)).alias("url")).filter("url != ''")
+    rows = rows.select(F.regexp_replace(url, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("url")).filter("url != ''")
     return fused(with_scores(rows, engines)).select("url", "verdict", "threat_score", "risk_level")

@@ -112,6 +112,15 @@ def sql(snippets: list[str]) -> dict[str, str]:
     long = " UNION ALL ".join(f"SELECT record_id, CAST({k} AS INTEGER) AS place, '{m}' AS modality, format('{{:.1f}}%', {c}) AS score, {t} AS finding FROM report" for k, (m, c, t) in enumerate(matrix))
     flags = ", ".join(f"CAST({_hit(r, 'url' if r == 'browser_fallback' else 'u')} AS INTEGER) AS {r}" for r in RULES)
     members = ", ".join(f"{_pick('classical', f'{h}::DOUBLE', f'{n}::DOUBLE')} AS {k}" for k, (h, n, _) in CLASSICAL.items())
+    values = ["0.0::DOUBLE"] * 14
+    values[10] = "CASE WHEN node >= 4 THEN node / 15.0::DOUBLE ELSE 0.0 END"
+    values[11] = "CASE WHEN node IN (1, 2) THEN coalesce(sfh_external, 0) WHEN node >= 4 THEN coalesce(url_of_anchor_ratio, 0) ELSE 0.0 END"
+    values[12] = "CASE WHEN node = 1 THEN coalesce(iframe_hidden, 0) ELSE 0.0 END"
+    for k in range(10):
+        values[k] = f"CASE WHEN hot = {k} THEN 1.0::DOUBLE ELSE 0.0 END"
+    vector = ", ".join(f"CAST(round(({v})::DOUBLE, 6) AS VARCHAR)" for v in values)
+    scanned = FUSED.replace(f"FROM {MAIN})", """FROM (SELECT row_number() OVER () AS record_id, regexp_replace(target_url, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS url, 0 AS sfh_external, 0 AS iframe_hidden, 0 AS url_of_anchor_ratio
+      FROM scan_results WHERE regexp_replace(target_url, '[\\s\\p{Z}]+', '', 'g') <> ''))""", 1)
     last = "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS r FROM scan_results)"
     return {
         "url_lexical_features": f"WITH {LEX} SELECT record_id, {fields} FROM lex",
@@ -157,6 +166,9 @@ def sql(snippets: list[str]) -> dict[str, str]:
         "fusion_verdict": f"WITH {FUSED} SELECT record_id, llm_score, visual_score, round(intel_score, 6) AS intel_score, verdict, threat_score, risk_level, attack_category, confidence, action FROM report",
         "attack_category": f"WITH {FUSED} SELECT attack_category, risk_level, count(*) AS n FROM report GROUP BY ALL",
         "evidence_matrix_long": f"WITH {FUSED} {long}",
+        "batch_scan_report": f"WITH {scanned} SELECT url, verdict, threat_score, risk_level FROM report",
+        "training_graphs": f"""SELECT record_id, CAST(node AS INTEGER) AS node, array_to_string([{vector}], ',') AS x
+          FROM (SELECT *, CASE WHEN node < 4 THEN node ELSE node % 5 + 4 END AS hot FROM {MAIN} CROSS JOIN range(15) AS n(node))""",
         "class_balance": f"SELECT {counted} FROM {MAIN}",
         "class_balance_by_source": f"SELECT dataset_source, {counted} FROM {MAIN} GROUP BY dataset_source",
         "drift_by_source": drifted.format(k="dataset_source,", c=counted, t=MAIN, g="GROUP BY dataset_source"),
