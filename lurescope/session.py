@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,7 +22,23 @@ def session(master: str = "local[*]", app: str = "lurescope", **conf: str) -> Sp
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return shipped(builder.getOrCreate())
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its Python workers once, wherever they run and whatever their path.
+
+    The archive lies beside the driver until it ends; Spark's own file server hands it to the executors, also to new ones.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_lurescope_shipped", False):
+        package, folder = os.path.dirname(os.path.abspath(__file__)), tempfile.mkdtemp(prefix="lurescope-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        source = os.path.join(folder, "source")
+        shutil.copytree(package, os.path.join(source, os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "lurescope"), "zip", source))
+        context._lurescope_shipped = True
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
