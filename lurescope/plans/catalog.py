@@ -37,12 +37,17 @@ def urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """``page_id, url, html``: the documents' whole texts behind a snippet of markup."""
-    n = len(SNIPPETS)
-    html = F.when(F.col("doc_id") % (n + 2) == n, F.col("text"))
+    """``page_id, url, html``: the documents' whole texts, all of them, most behind a snippet of markup."""
+    n, html = len(SNIPPETS), F.col("text")
     for k, snippet in enumerate(SNIPPETS):
-        html = html.when(F.col("doc_id") % (n + 2) == k, F.concat(F.lit(snippet), F.coalesce("text", F.lit(""))))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://"), "site_host").alias("url"), html.otherwise("").alias("html"))
+        html = F.when(F.col("doc_id") % (n + 2) == k, F.concat(F.lit(snippet), F.coalesce("text", F.lit("")))).otherwise(html)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://"), "site_host").alias("url"), html.alias("html"))
+
+
+def pages_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`pages` as the SQL states them: empty for the last remainder of doc_id and for a negative or null one, whatever the text."""
+    n = len(SNIPPETS)
+    return pages(spark, d).withColumn("html", F.when((F.col("page_id") % (n + 2)).between(0, n), F.col("html")).otherwise(""))
 
 
 def panel_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -78,12 +83,12 @@ def keyword_intent_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def js_signal_counts(spark: SparkSession, d: str) -> DataFrame:
-    return with_script_signals(pages(spark, d), "html").drop("url", "html")
+    return with_script_signals(pages_in_sql(spark, d), "html").drop("url", "html")
 
 
 @query
 def html_string_flags(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", *scores.columns(markup_flags(F.coalesce("html", F.lit("")))))
+    return pages_in_sql(spark, d).select("page_id", *scores.columns(markup_flags(F.coalesce("html", F.lit("")))))
 
 
 @query
