@@ -161,15 +161,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()
 
 
+def counted(pairs: DataFrame, rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """PAIRS per split, source of the evaluation row and kind: pairs, evaluation rows with one, pairs whose labels differ.
+
+    All counts are exact. Pairs are summed up per evaluation row first, so that rows are counted as rows, without a set
+    of ids in any task.
+    """
+    listed = splits.select(F.col("record_id").alias("other_id"), "split")
+    ours = rows.select(F.col("record_id").alias("train_id"), F.col("label").alias("_label"))
+    theirs = rows.select(F.col("record_id").alias("other_id"), "dataset_source", "label")
+    joined = pairs.join(ours, "train_id").join(theirs, "other_id").join(listed, "other_id")
+    differ = F.count_if(F.col("label").isNotNull() & F.col("_label").isNotNull() & (F.col("label") != F.col("_label")))
+    each = joined.groupBy("split", "dataset_source", "kind", "other_id").agg(F.count(F.lit(1)).alias("n"), differ.alias("differ"))
+    return each.groupBy("split", "dataset_source", "kind").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows_touched"), F.sum("differ").alias("labels_differ"))
+
+
 def p4_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlaps counted per split, source of the evaluation row and kind, with how often the labels differ."""
-    pairs = _pairs(spark, sf_dir)
     rows = table(spark, sf_dir, "merged_phishing_multimodal_dataset").select("record_id", "dataset_source", "label")
-    splits = table(spark, sf_dir, "dataset_splits").select(F.col("record_id").alias("other_id"), "split")
-    ours = rows.select(F.col("record_id").alias("train_id"), F.col("label").alias("_label"))
-    joined = pairs.join(ours, "train_id").join(rows.withColumnRenamed("record_id", "other_id"), "other_id").join(splits, "other_id")
-    differ = F.count_if(F.col("label").isNotNull() & F.col("_label").isNotNull() & (F.col("label") != F.col("_label")))
-    return joined.groupBy("split", "dataset_source", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.approx_count_distinct("other_id").alias("rows_touched"), differ.alias("labels_differ"))
+    return counted(_pairs(spark, sf_dir), rows, table(spark, sf_dir, "dataset_splits"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_overlaps": p4_overlaps}
