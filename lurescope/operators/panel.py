@@ -123,14 +123,26 @@ def evidence(votes: DataFrame, keys: list[str], first: int = 4) -> DataFrame:
     return top.groupBy(*keys).agg(F.array_join(listed, " | ").alias("evidence"))
 
 
+def bare_name(name: Column) -> Column:
+    """An engine's name without case, blanks and punctuation."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def by_catalog_name(answers: DataFrame, engines: DataFrame, name: str) -> DataFrame:
+    """ANSWERS with NAME as the catalog spells it, by bare names; answers of engines that it does not list are left out."""
+    catalog = engines.select("ord", F.col("name").alias("_engine"), bare_name(F.col("name")).alias("_bare")).filter("_bare != ''")
+    known = catalog.groupBy("_bare").agg(F.min_by("_engine", "ord").alias("_engine"))
+    named = answers.withColumn("_bare", bare_name(F.col(name))).join(known, "_bare")
+    return named.withColumn(name, F.col("_engine")).drop("_bare", "_engine")
+
+
 def matched_engines(asked: DataFrame, engines: DataFrame, name: str) -> DataFrame:
     """For each NAME the first engine, in catalog order, whose bare name equals or contains it; else the first engine.
 
     Names are made distinct first: there are few of them, however many rows ask.
     """
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    names = asked.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_bare", bare(F.col(name)))
-    catalog = engines.select("ord", F.col("name").alias("engine"), bare(F.col("name")).alias("_known"))
+    names = asked.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_bare", bare_name(F.col(name)))
+    catalog = engines.select("ord", F.col("name").alias("engine"), bare_name(F.col("name")).alias("_known"))
     hits = names.join(catalog, F.contains(F.col("_known"), F.col("_bare"))).groupBy(name).agg(F.min_by("engine", "ord").alias("engine"))
     first = catalog.agg(F.min_by("engine", "ord").alias("_first"))
     return names.join(hits, name, "left").crossJoin(first).select(name, F.coalesce("engine", "_first").alias("engine"))

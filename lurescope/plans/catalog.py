@@ -388,9 +388,10 @@ def trained_classifier_quality(spark: SparkSession, d: str) -> DataFrame:
 def replied_consensus(spark: SparkSession, d: str) -> DataFrame:
     """The panel with the recorded answers of engines on training rows of the same address in place of rule scores."""
     scans = latest_deliveries(table(spark, d, "scan_results").select("id", "target_url", "ingested_at"), "id", "ingested_at").select(F.col("id").alias("scan_id"), F.col("target_url").alias("url"))
-    answers = table(spark, d, "engine_results").select("scan_id", "engine", "verdict", "threat_score").groupBy("scan_id", "engine").agg(F.max(F.struct("threat_score", "verdict")).alias("a"))
+    recorded, engines = table(spark, d, "engine_results").select("scan_id", "engine", "verdict", "threat_score"), table(spark, d, "engines")
+    answers = panel.by_catalog_name(recorded, engines, "engine").groupBy("scan_id", "engine").agg(F.max(F.struct("threat_score", "verdict")).alias("a"))
     raw = F.to_json(F.struct(F.col("a.threat_score").alias("threat_score"), F.col("a.verdict").alias("verdict")))
-    asked = fusion.with_lexical(scans.join(answers.select("scan_id").distinct(), "scan_id", "left_semi"))
+    asked = fusion.with_lexical(scans.join(recorded.select("scan_id").distinct(), "scan_id", "left_semi"))
     given = answers.select("scan_id", "engine", raw.alias("reply"))
-    each = panel.fan_out(panel.with_points(asked), table(spark, d, "engines")).select("scan_id", "engine", "ord", "reliability", "score", "verdict", "reasons")
+    each = panel.fan_out(panel.with_points(asked), engines).select("scan_id", "engine", "ord", "reliability", "score", "verdict", "reasons")
     return panel.pooled(panel.with_replies(each.join(given, ["scan_id", "engine"], "left"), "reply"), ["scan_id"])
