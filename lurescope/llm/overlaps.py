@@ -101,6 +101,18 @@ def keyed_rows(df: DataFrame, id_col: str, url: str) -> DataFrame:
     return parts.select("id", marked.alias("marked"), *wide_hash(F.concat("_head", F.array_join("_params", ""), "_tail")))
 
 
+def markings(keyed: DataFrame, keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """``k1, k2, t, e, marked``: each of KEYS with every marking that ROWS have of it, as copies may split differently
+    into path and parameters. Keys with several are few, so their rows are looked up; the others have their marking.
+    """
+    several = cut(keys.filter("several").select("k1", "k2", "t", "e"))
+    theirs = cut(keyed.join(several, ["k1", "k2"]).select("id", "k1", "k2", "t", "e", "marked"))
+    more = cut(theirs.join(rows.select("id"), "id").select("k1", "k2", "t", "e", "marked").distinct())
+    drop(several)
+    drop(theirs)
+    return keys.filter("not several").select("k1", "k2", "t", "e", "marked").unionByName(more)
+
+
 def without_one(keys: DataFrame) -> DataFrame:
     """KEYS once for each of their parameters, with ``m1, m2``, the hash of the key without it."""
     pieces = F.split(F.substring_index("marked", END, 1), PARAM)
@@ -128,10 +140,11 @@ def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: s
     keyed = cut(keyed_rows(df, id_col, url))
     rows = cut(keyed.select("id", "k1", "k2").join(named, "id"))
     sides = rows.groupBy("k1", "k2").agg(F.max("t").alias("t"), F.max("e").alias("e"))
-    texts = keyed.select("k1", "k2", "marked").groupBy("k1", "k2").agg(F.min("marked").alias("marked"))
+    texts = keyed.select("k1", "k2", "marked").groupBy("k1", "k2").agg(F.min("marked").alias("marked"), (F.min(F.xxhash64("marked")) != F.max(F.xxhash64("marked"))).alias("several"))
     text = F.concat(F.replace(F.substring_index("marked", END, 1), F.lit(PARAM), F.lit("")), F.substring_index("marked", END, -1))
     keys = texts.join(sides, ["k1", "k2"]).withColumn("kid", F.monotonically_increasing_id()).withColumn("text", text)
     keys = cut(with_sketch(keys, "text").drop("text")).withColumn("text", text)
+    marked = markings(keyed, keys, rows)
     drop(keyed)
     room = F.lit(0).cast("bigint").alias("room")
     left, right = (keys.filter(s).select("kid", "text", room, "sketch") for s in ("t", "e"))
@@ -142,7 +155,7 @@ def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: s
     edited = both.filter(F.levenshtein("left_text", "right_text", edits) >= 0).select(*pair("_left", "_right", "edit"))
     same = keys.filter("t and e").select(*pair("k", "k", "same"))
     whole = keys.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("t").alias("_t"), F.col("e").alias("_e"))
-    joined = without_one(keys).join(whole, ["m1", "m2"])
+    joined = without_one(marked).join(whole, ["m1", "m2"])
     longer, shorter = (joined.filter(c).select(*pair(a, b, "parameter")) for c, a, b in (("t and _e", "k", "m"), ("_t and e", "m", "k")))
     pairs = same.unionByName(edited).unionByName(longer).unionByName(shorter)
     ours = rows.filter("t").select(F.col("id").alias("train_id"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
