@@ -38,12 +38,13 @@ def plan_of(available: DataFrame, targets: DataFrame, total_tokens: float | None
     return each.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("budget") - F.col("epochs") * F.col("available"), F.lit(0.0)))
 
 
-def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, passes: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
     """``mix_name, id, source, tokens, uses`` of all documents that a mix uses, from DOCS (id, source, tokens, weight).
 
     Each source goes through its complete epochs first. The fraction left is filled in the order of exponential keys,
     scaled by the document's weight, as far as the running sum stays within the token budget; what the first document
-    too large leaves open is filled in the same way, PASSES times in all, with those behind it that still fit. Running
+    too large leaves open is filled in the same way with those behind it that still fit, until no unused document fits in
+    any gap; a pass takes at least the first that fits, so this ends. Running
     sums are pre-aggregated in buckets of the keys, so that a source with a third of all documents is never sorted in
     one task. Documents without tokens, id or source are not used.
     """
@@ -55,16 +56,17 @@ def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = docs.join(plan.select("mix_name", "source", "epochs"), "source").withColumn("_low", 1 - F.pow(uniform, 1 / F.col("weight")))
     rows, gaps = rows.withColumn("more", F.lit(0)), plan.filter("epochs < repeats").select("mix_name", "source", F.col("rest").alias("_gap"))
-    for k in range(passes):
+    while True:
         fitting = rows.join(gaps, ["mix_name", "source"], "left").withColumn("_try", (F.col("more") == 0) & (F.col("tokens") <= F.coalesce("_gap", F.lit(0.0))))
         weight = F.when(F.col("_try"), F.col("tokens")).otherwise(0)
         ordered = running(fitting, ["mix_name", "source"], F.floor(F.col("_low") * b).cast("int"), [F.col("_low"), F.col("id")], weight)
         take = F.col("_try") & (F.col("before") + F.col("tokens") <= F.col("_gap"))
         rows = cut(ordered.withColumn("more", F.when(take, 1).otherwise(F.col("more"))).drop("_gap", "_try", "before"))
-        if k < passes - 1:
-            filled = rows.filter("more = 1").groupBy("mix_name", "source").agg(F.sum("tokens").alias("_sum"))
-            left = plan.filter("epochs < repeats").join(filled, ["mix_name", "source"], "left")
-            gaps = cut(left.select("mix_name", "source", (F.col("rest") - F.coalesce("_sum", F.lit(0))).alias("_gap")))
+        filled = rows.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("more")).alias("_sum"), F.min(F.when(F.col("more") == 0, F.col("tokens"))).alias("_least"))
+        left = plan.filter("epochs < repeats").join(filled, ["mix_name", "source"])
+        gaps = cut(left.select("mix_name", "source", (F.col("rest") - F.col("_sum")).alias("_gap"), "_least").filter("_least <= _gap").drop("_least"))
+        if gaps.isEmpty():
+            break
     return rows.select("mix_name", "id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("uses")).filter("uses > 0")
 
 
