@@ -10,8 +10,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(master: str = "local[*]", app: str = "lurescope", **conf: str) -> SparkSession:
-    """A session with the settings the operators are written for; an existing session is reused as it is."""
+def session(master: str = "local[*]", app: str = "lurescope", shared: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the operators are written for; an existing session is reused as it is.
+
+    SHARED is the folder for tables that cut lineage, on storage that all executors reach.
+    """
     defaults = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -20,6 +23,8 @@ def session(master: str = "local[*]", app: str = "lurescope", **conf: str) -> Sp
         "spark.ui.enabled": "false",
     }
     builder = SparkSession.builder.master(master).appName(app)
+    if shared:
+        defaults["spark.checkpoint.dir"] = shared
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return shipped(builder.getOrCreate())
