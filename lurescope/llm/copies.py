@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope.llm.urlkeys import decoded, letters, plain, wide_hash, with_key
+from lurescope.plans.lineage import cut
 from lurescope.session import table
 
+
 def invariant(url: Column) -> Column:
     """Length and letter histogram of the stripped text in one number: equal for all copies, whatever the order of parts.
 
     Every letter adds one to the upper part and its own hash to the lower, so the sum depends on the counts of the
-    letters alone.
+    letters alone; it is taken modulo 2^62 after every letter, so that this holds for texts of any length.
     """
-    add = lambda total, c: total.bitwiseAND((1 << 62) - 1) + F.xxhash64(c).bitwiseAND((1 << 42) - 1) + (1 << 44)
+    add = lambda total, c: (total + F.xxhash64(c).bitwiseAND((1 << 42) - 1) + (1 << 44)).bitwiseAND((1 << 62) - 1)
     return F.aggregate(F.split(letters(decoded(plain(url))), ""), F.lit(0).cast("bigint"), add)
 
 
@@ -28,18 +30,19 @@ def copy_classes(df: DataFrame, id_col: str, url: str, within: list[str] | None
     """One row per member of every class of several copies: WITHIN, ``id_a`` (smallest id), ``id_b`` (its id), ``copies``.
 
     First the rows are split by cheap invariants, counted before they are shuffled; only rows of classes with several
-    members get the costly key. A class of any size is handled: its smallest id and size come from pre-aggregated
-    sums, joined back as one row a class (a skewed join that adaptive execution splits).
+    members get the costly key. Both are written once, as their classes are counted and then looked up. A class of any
+    size is handled: its smallest id and size come from pre-aggregated sums, joined back as one row a class (a skewed
+    join that adaptive execution splits).
 
     A row delivered twice under one id counts once. Rows with a null id or URL belong to no class; blank URLs are
     copies of each other. An empty table gives an empty result. Other columns of DF are not looked at.
     """
     within = within or []
     rows = df.select(*within, F.col(id_col).alias("_id"), F.col(url).alias("_url")).filter("_id is not null and _url is not null")
-    likely = refine(rows.withColumn("_class", invariant(F.col("_url"))), [*within, "_class"])
-    keyed = with_key(likely, "_url", "_key").select(*within, "_id", *wide_hash(F.col("_key")))
+    rows = cut(rows.withColumn("_class", invariant(F.col("_url"))))
+    likely = refine(rows, [*within, "_class"])
     classes = [*within, "k1", "k2"]
-    members = keyed.distinct()
+    members = cut(with_key(likely, "_url", "_key").select(*within, "_id", *wide_hash(F.col("_key"))).distinct())
     sizes = members.groupBy(*classes).agg(F.min("_id").alias("id_a"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     return members.join(sizes, classes).select(*within, "id_a", F.col("_id").alias("id_b"), "copies")
 
