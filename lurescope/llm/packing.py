@@ -123,18 +123,15 @@ def packed(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     histograms: dict[tuple[int, int], dict[int, int]] = {}
     for r in counted:
         histograms.setdefault((r.spec_id, r.capacity), {})[r["size"]] = r.n
-    places = {spec: _as_arrays(best_fit_decreasing(h, capacity)[0]) for (spec, capacity), h in histograms.items()}
+    places = {spec: Places(h, best_fit_decreasing(h, capacity)[0]) for (spec, capacity), h in histograms.items()}
     held = spark.sparkContext.broadcast(places)
 
     @F.pandas_udf("bigint")
     def place(spec: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
         out = np.zeros(len(spec), "int64")
         for one in spec.unique():
-            keys, ranks, first, each = held.value[one]
             mine = (spec == one).to_numpy()
-            s, r = size.to_numpy()[mine], rank.to_numpy()[mine]
-            at = np.searchsorted(keys, _key(s, r), side="right") - 1
-            out[mine] = first[at] + (r - ranks[at]) // each[at]
+            out[mine] = held.value[one].container(size.to_numpy()[mine], rank.to_numpy()[mine])
         return pd.Series(out)
 
     b = buckets_for(sum(r.n for r in counted))
@@ -142,15 +139,28 @@ def packed(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     return ranked.select("spec_id", "capacity", "id", "piece", "first_token", "size", place("spec_id", "size", "rank").alias("container"))
 
 
-def _key(size: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Orders by size, then rank; exact for sizes below 2^20 and ranks below 2^43."""
-    return (size.astype("int64") << 43) + rank
+class Places:
+    """The steps of a packing, to find the container of the RANK-th item of a SIZE.
 
+    Steps are keyed by the number of items of smaller sizes plus their first rank: exact for any sizes and ranks whose
+    number of items fits 63 bits.
+    """
 
-def _as_arrays(steps: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, ...]:
-    size, rank, first, each = np.array(steps, "int64").reshape(-1, 4).T
-    order = np.argsort(_key(size, rank), kind="stable")
-    return _key(size, rank)[order], rank[order], first[order], each[order]
+    def __init__(self, histogram: dict[int, int], steps: list[tuple[int, int, int, int]]) -> None:
+        self.sizes = np.array(sorted(histogram), "int64")
+        numbers = np.array([histogram[s] for s in self.sizes.tolist()], "int64")
+        self.starts = np.cumsum(numbers) - numbers
+        size, rank, first, each = np.array(steps, "int64").reshape(-1, 4).T
+        keys = self.key(size, rank)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank, self.first, self.each = keys[order], rank[order], first[order], each[order]
+
+    def key(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return self.starts[np.searchsorted(self.sizes, size)] + rank
+
+    def container(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, self.key(size, rank), side="right") - 1
+        return self.first[at] + (rank - self.rank[at]) // self.each[at]
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,17 +33,30 @@ def test_best_fit_is_the_one_by_one_packing():
         for _ in range(rng.randint(1, 60)):
             h[s] = h.get(s := rng.randint(1, capacity), 0) + rng.choice([1, 1, 3, 20])
         steps, used = packing.best_fit_decreasing(h, capacity)
-        keys, ranks, first, each = packing._as_arrays(steps)
-        filled = {}
+        places, filled = packing.Places(h, steps), {}
         for s, n in h.items():
-            r = np.arange(n)
-            at = np.searchsorted(keys, packing._key(np.full(n, s), r), side="right") - 1
-            for c in first[at] + (r - ranks[at]) // each[at]:
+            for c in places.container(np.full(n, s), np.arange(n)).tolist():
                 filled[c] = filled.get(c, 0) + s
         assert len(filled) == used and sorted(capacity - f for f in filled.values()) == placed_one_by_one([s for s, n in h.items() for _ in range(n)], capacity)
     assert packing.best_fit_decreasing({}, 5) == ([], 0)
 
 
+def test_sizes_and_ranks_of_any_magnitude():
+    """Sizes from 2^20 and 2^21 on keep their own containers, and so do ranks beyond 2^43."""
+    h, capacity = {7: 3, 2_097_159: 2, (1 << 20) + 3: 4, (1 << 21) + 900: 5}, (1 << 22) + 7
+    steps, used = packing.best_fit_decreasing(h, capacity)
+    places, filled = packing.Places(h, steps), {}
+    for s, n in h.items():
+        for c in places.container(np.full(n, s), np.arange(n)).tolist():
+            filled[c] = filled.get(c, 0) + s
+    assert len(filled) == used and max(filled.values()) <= capacity
+    assert sorted(capacity - f for f in filled.values()) == placed_one_by_one([s for s, n in h.items() for _ in range(n)], capacity)
+    many = {1: 1 << 50, 5: 1 << 50}
+    steps, used = packing.best_fit_decreasing(many, 5)
+    got = packing.Places(many, steps).container(np.array([5, 1, 1]), np.array([(1 << 50) - 1, 0, (1 << 50) - 1]))
+    assert got.tolist() == [(1 << 50) - 1, 1 << 50, used - 1]
+
+
 def test_tree_finds_the_tightest():
     rng, tree, rooms = random.Random(4), packing.Remaining(50), []
     for k in range(400):
