@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,49 +56,71 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(alone)
 
 
-def subset_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
-    """How many items of each size to take so that their total is as near as possible to TARGET.
+def reachable(sizes: dict[int, int], limit: int) -> list[tuple[int, int, object]]:
+    """(size, number taken, totals reachable before) for each step of adding SIZES in chunks of 1, 2, 4 ... of a size.
 
-    SIZES has the multiplicity of each size. Reachable totals are the bits of one number; a size with multiplicity m
-    is added in chunks of 1, 2, 4 ... so that each takes one shift. Small sizes are taken where they suffice, for variety.
+    Totals up to LIMIT are the bits of one number, or a sorted array where so few are reachable that it is smaller.
     """
-    if target <= 0 or not sizes:
-        return {}
-    limit = 2 * target
-    mask, bits, steps = (1 << (limit + 1)) - 1, 1, []
+    few = 1
+    for n in sizes.values():
+        few = min(few * (n + 1), 1 << 62)
+    steps: list[tuple[int, int, object]] = []
+    mask, bits, listed = (1 << (limit + 1)) - 1, 1, np.zeros(1, "int64")
+    as_list = 64 * few < limit
     for size in sorted(sizes):
         left, chunk = min(sizes[size], limit // size), 1
         while left > 0:
             take = min(chunk, left)
-            steps.append((size, take, bits))
-            bits |= (bits << (size * take)) & mask
+            steps.append((size, take, listed if as_list else bits))
+            if as_list:
+                more = listed + size * take
+                listed = np.union1d(listed, more[more <= limit])
+            else:
+                bits |= (bits << (size * take)) & mask
             left, chunk = left - take, chunk * 2
-    low = bits & ((1 << (target + 1)) - 1)
-    below = low.bit_length() - 1
-    high = bits >> target
+    steps.append((0, 0, listed if as_list else bits))
+    return steps
+
+
+def nearest_total(totals: object, target: int) -> int:
+    if isinstance(totals, np.ndarray):
+        return int(totals[np.abs(totals - target).argmin()])
+    below = (totals & ((1 << (target + 1)) - 1)).bit_length() - 1
+    high = totals >> target
     above = target + ((high & -high).bit_length() - 1) if high else None
-    total = above if above is not None and above - target < target - below else below
+    return above if above is not None and above - target < target - below else below
+
+
+def subset_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many items of each size to take so that their total is as near as possible to TARGET.
+
+    SIZES has the multiplicity of each size. Small sizes are taken where they suffice, for variety.
+    """
+    if target <= 0 or not sizes:
+        return {}
+    *steps, (_, _, totals) = reachable(sizes, 2 * target)
+    total = nearest_total(totals, target)
     counts: dict[int, int] = {}
     for size, take, before in reversed(steps):
-        if not before >> total & 1:
+        if isinstance(before, np.ndarray):
+            at = np.searchsorted(before, total)
+            there = at < len(before) and before[at] == total
+        else:
+            there = before >> total & 1
+        if not there:
             counts[size] = counts.get(size, 0) + take
             total -= size * take
     return counts
 
 
-def allocate(sizes: dict[int, int], shares: dict[str, float], exact_rows: int = 1 << 23) -> dict[str, dict[int, int]]:
-    """For each split, the number of components of each size, with totals as near as possible to the shares.
-
-    While more than EXACT_ROWS rows are left, the largest components go where most is missing; the rest, small
-    components that can settle any gap, is divided by exact subset sums, from the smallest share up, and the largest
-    share takes what remains. This bounds memory at EXACT_ROWS / 4 bytes a step, however many rows there are.
-    """
+def _allocated(sizes: dict[int, int], shares: dict[str, float], core: int) -> tuple[dict[str, dict[int, int]], bool]:
+    """An allocation in which components beyond CORE rows, the largest, go where most is missing; and whether no other is nearer."""
     total = sum(s * n for s, n in sizes.items())
     missing = {k: v * total / (sum(shares.values()) or 1) for k, v in shares.items()}
     out: dict[str, dict[int, int]] = {k: {} for k in shares}
     pool, left = {}, total
     for size in sorted(sizes, reverse=True):
-        now = min(sizes[size], max(0, -(-(left - exact_rows) // size)))
+        now = min(sizes[size], max(0, -(-(left - core) // size)))
         need = sum(max(0, x) for x in missing.values())
         given = {k: int(now * max(0, x) / need) if need > 0 else 0 for k, x in missing.items()}
         for k, n in given.items():
@@ -110,15 +135,36 @@ def allocate(sizes: dict[int, int], shares: dict[str, float], exact_rows: int =
         left -= now * size
         if sizes[size] > now:
             pool[size] = sizes[size] - now
-    order = sorted(shares, key=lambda k: (shares[k], k))
+    order, step, best = sorted(shares, key=lambda k: (shares[k], k)), math.gcd(*sizes), True
     for k in order[:-1]:
         for size, n in subset_counts(pool, round(missing[k])).items():
             out[k][size] = out[k].get(size, 0) + n
             pool[size] -= n
+            missing[k] -= n * size
         pool = {s: n for s, n in pool.items() if n}
+        best = best and abs(missing[k]) <= step / 2 + 1e-6
     for size, n in pool.items():
         out[order[-1]][size] = out[order[-1]].get(size, 0) + n
-    return out
+    return out, best
+
+
+def allocate(sizes: dict[int, int], shares: dict[str, float], core: int = 1 << 22) -> dict[str, dict[int, int]]:
+    """For each split, the number of components of each size, with totals as near as possible to the shares.
+
+    Exact subset sums, from the smallest share up; the largest share takes what remains. They are first tried on the
+    smallest components of CORE rows, after the larger ones went where most was missing. All totals are multiples of
+    the sizes' common divisor, so one within half of it can't be bettered; where a split is farther off, the core is
+    widened, up to all components. So the outcome is the same at any number of rows, and memory grows only as far as
+    a table has too few small components to settle the gaps.
+    """
+    if not shares:
+        return {}
+    total = sum(s * n for s, n in sizes.items())
+    while True:
+        out, best = _allocated(sizes, shares, core)
+        if best or core >= total:
+            return out
+        core *= 8
 
 
 def owner(source: Column) -> Column:
@@ -186,16 +232,29 @@ def grouped_split(rows: DataFrame, labels: DataFrame, shares: dict[str, float])
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = table(spark, sf_dir, "merged_phishing_multimodal_dataset")
-    rows = with_anchor(df, "record_id", "url", "dataset_source", known_suffixes(spark, sf_dir))
+    rows = cut(with_anchor(df, "record_id", "url", "dataset_source", known_suffixes(spark, sf_dir)))
     return rows, linked(rows, "_owner", "_site", "_anchor")
 
 
-def shared_sources(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different sources, as written, of one component: ``source_a, source_b``, smaller first."""
+def source_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per source, as written: ``source, component, members`` (sources of its component, itself included)."""
     sources = rows.filter("_owner is not null").select("_source", "_owner").distinct()
-    sources = cut(sources.join(labels.withColumnRenamed("name", "_owner"), "_owner").select("component", F.col("_source").alias("source_a")))
-    other = sources.withColumnRenamed("source_a", "source_b")
-    return sources.join(other, "component").filter("source_a < source_b").select("source_a", "source_b")
+    sources = cut(sources.join(labels.withColumnRenamed("name", "_owner"), "_owner").select("component", F.col("_source").alias("source")))
+    return sources.join(sources.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+
+
+def shared_sources(rows: DataFrame, labels: DataFrame, block: int = 1000) -> DataFrame:
+    """Pairs of different sources, as written, of one component: ``source_a, source_b``, smaller first.
+
+    The pairs are the result asked for, so their number is quadratic in a component. No task gets a component, though:
+    its sources are dealt into blocks of about BLOCK, and each two blocks are joined on their own.
+    """
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    dealt = cut(source_classes(rows, labels).filter("members > 1").select("component", "source", blocks.alias("b")).withColumn("i", F.pmod(F.xxhash64("source"), F.col("b")).cast("int")))
+    left = dealt.select("component", F.col("source").alias("_x"), "i", F.explode(F.sequence("i", F.col("b") - 1)).alias("j"))
+    right = dealt.select("component", F.col("source").alias("_y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("i"))
+    pairs = left.join(right.hint("shuffle_hash"), ["component", "i", "j"]).filter("i < j or _x < _y")
+    return pairs.select(F.least("_x", "_y").alias("source_a"), F.greatest("_x", "_y").alias("source_b"))
 
 
 def split_shares(spark: SparkSession, sf_dir: str) -> dict[str, float]:
@@ -208,6 +267,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_sources(*_inputs(spark, sf_dir))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as :func:`p3_found` without pairs: each source, the first source of its class, and how many others it is tied to."""
+    classes = source_classes(*_inputs(spark, sf_dir))
+    first = classes.groupBy("component").agg(F.min("source").alias("class"))
+    return classes.join(first, "component").select(F.col("source").alias("dataset_source"), "class", (F.col("members") - 1).alias("links"))
+
+
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, labels = _inputs(spark, sf_dir)
     made = grouped_split(rows, cut(labels), split_shares(spark, sf_dir))
@@ -226,4 +292,4 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares}
+QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p3_splits": p3_splits, "p3_shares": p3_shares}

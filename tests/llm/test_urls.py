@@ -50,6 +50,14 @@ def test_copies(spark):
     assert copies.collapsed(df.filter("id < 0"), "id", "url").count() == 0
 
 
+def test_invariant_of_long_texts(spark):
+    """The count of letters runs over at 2^18 of them; the order of the parts must not show even there."""
+    n = 1 << 18
+    made = [("http" + "a" * x + "b" * (n - x - 4 + more), "http" + "b" * (n - x - 4 + more) + "a" * x) for x in (1, 1000, n // 2) for more in (-1, 0, 1)]
+    rows = spark.createDataFrame(made, "u string, v string")
+    assert rows.filter(copies.invariant(F.col("u")) != copies.invariant(F.col("v"))).count() == 0
+
+
 def test_invariant_is_one(spark):
     rows = spark.createDataFrame([(u,) for u in [BASE, *SAME]], "url string")
     assert rows.select(copies.invariant(F.col("url"))).distinct().count() == 1
@@ -103,16 +111,49 @@ def test_subset_sums():
         assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(r - target) for r in reachable)
 
 
+def totals(got):
+    return {k: sum(s * n for s, n in got[k].items()) for k in got}
+
+
 def test_allocation_is_whole_and_near():
     sizes = {5000: 1, 900: 3, 40: 50, 1: 3000}
     shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
-    for exact in (1 << 23, 2000, 10):
-        got = groups.allocate(sizes, shares, exact)
+    for core in (1 << 23, 2000, 10):
+        got = groups.allocate(sizes, shares, core)
         assert {s: sum(got[k].get(s, 0) for k in got) for s in sizes} == sizes
         total = sum(s * n for s, n in sizes.items())
         for k, share in shares.items():
             assert abs(sum(s * n for s, n in got[k].items()) - share * total) <= 1
     assert groups.allocate({}, shares) == {k: {} for k in shares}
+    assert groups.allocate(sizes, {}) == {}
+
+
+def test_allocation_is_the_same_at_any_number_of_rows():
+    """Without small components to settle a gap the whole table is looked at, however small the core it starts with."""
+    sizes, shares = {1000: 13, 700: 9, 10: 3}, {"train": 0.8, "validation": 0.1, "test": 0.1}
+    exact = totals(groups.allocate(sizes, shares, 1 << 40))
+    assert all(totals(groups.allocate(sizes, shares, core)) == exact for core in (1, 966, 5000))
+    times = 1_000_000  # 1.9e10 rows: few totals can be reached, so they are listed
+    assert totals(groups.allocate({s * times: n for s, n in sizes.items()}, shares)) == {k: t * times for k, t in exact.items()}
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = {rng.choice([1, 3, 50, 400, rng.randint(1, 900)]): rng.randint(1, 12) for _ in range(rng.randint(1, 6))}
+        exact = totals(groups.allocate(sizes, shares, 1 << 40))
+        total = sum(s * n for s, n in sizes.items())
+        for core in (1, total // 20 + 1):
+            got = totals(groups.allocate(sizes, shares, core))
+            assert all(abs(got[k] - shares[k] * total) <= abs(exact[k] - shares[k] * total) + 1e-6 or got == exact for k in ("validation", "test"))
+
+
+def test_lists_and_bits_of_totals_agree():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(3)}
+        limit = rng.randint(1, 300)
+        *_, (_, _, bits) = groups.reachable(sizes, limit)
+        scaled = {s * 100_000: n for s, n in sizes.items()}
+        *_, (_, _, listed) = groups.reachable(scaled, limit * 100_000)
+        assert not isinstance(listed, int) and [t // 100_000 for t in listed.tolist()] == [t for t in range(limit + 1) if bits >> t & 1]
 
 
 ROWS = "record_id bigint, url string, dataset_source string, component string, split string"
@@ -135,6 +176,10 @@ def test_grouped_split(spark):
     pairs = {(r.source_a, r.source_b) for r in groups.shared_sources(rows, labels).collect()}
     sources = {s for _, _, s, *_ in data[:500]}
     assert pairs == {(a, b) for a, b in itertools.combinations(sorted(sources), 2)}  # seven sites tie all owners together
+    assert {(r.source_a, r.source_b) for r in groups.shared_sources(rows, labels, block=3).collect()} == pairs
+    assert groups.shared_sources(rows, labels, block=3).count() == len(pairs)
+    classes = groups.source_classes(rows, labels).collect()
+    assert {r.source for r in classes} == sources and {r.members for r in classes} == {len(sources)} and len(classes) == len(sources)
     none = groups.with_anchor(df.filter("record_id < 0"), "record_id", "url", "dataset_source", ["test"])
     assert groups.grouped_split(none, groups.linked(none, "_owner", "_site", "_anchor"), {"train": 1.0}).count() == 0
 
