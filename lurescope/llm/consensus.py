@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from lurescope.plans.lineage import cut, drop
+from lurescope.plans.lineage import cut
 from lurescope.session import table
 
 # How the two verdicts are written, after lower case and without anything but letters.
@@ -56,111 +57,143 @@ def upper(errors: Column, n: Column) -> Column:
     return (errors + 0.5) / quantile
 
 
-def bounded_rate(errors: Column, n: Column) -> Column:
-    """The error rate drawn to 1/2 as far as its bound allows: few answers say nothing, many say what they show.
-
-    An annotator that is mostly wrong counts as one that is mostly right with turned labels.
-    """
-    right = F.greatest(n - errors, F.lit(0.0))
-    low = F.least(upper(errors, n), F.lit(0.5))
-    high = 1 - F.least(upper(right, n), F.lit(0.5))
-    return F.when(errors <= right, low).otherwise(high)
+def bound(errors: Column, n: Column) -> Column:
+    """Upper bound of the error variance of an annotator's claims, at most 1/2; of one mostly wrong, with its labels turned."""
+    return F.least(upper(F.least(errors, n - errors), n), F.lit(0.5))
 
 
-def weights(sums: DataFrame) -> DataFrame:
-    """Per annotator its error rates on both labels and what a claim of 1 or 0 adds to the log odds of an item.
+def weights(sums: DataFrame, prior: float, per_label: bool = True) -> DataFrame:
+    """Per annotator the bounds of its error variances, and by how much a claim of 1 or 0 brings label 1 nearer than label 0.
 
-    SUMS is a written table; only its two totals, for the share of label 1, come to the driver.
+    The weight of an annotator is the log odds of being right at the bound: few answers give a bound near 1/2 and no
+    weight, however well they agree; many give what they show. A label's distance is the weighted sum of its distances
+    to the claims, turned for annotators that are mostly wrong. PRIOR is the log odds of label 1 among all items. With
+    PER_LABEL the errors on items of either label have a variance of their own, otherwise both have one.
     """
-    miss, alarm = bounded_rate(F.col("e1"), F.col("n1")), bounded_rate(F.col("e0"), F.col("n0"))
-    yes, items = (x or 0.0 for x in sums.agg(F.sum("yes"), F.sum("items")).first())
-    prior = math.log((yes + 0.5) / (max(0.0, items - yes) + 0.5))
-    rated = sums.select("annotator", "answers", miss.alias("miss"), alarm.alias("alarm"))
-    return rated.select("*", F.log((1 - F.col("miss")) / F.col("alarm")).alias("for_yes"), F.log(F.col("miss") / (1 - F.col("alarm"))).alias("for_no"), F.lit(prior).alias("prior"))
+    e1, n1, e0, n0 = (F.col(k) for k in ("e1", "n1", "e0", "n0"))
+    if not per_label:
+        e1, n1, e0, n0 = e1 + e0, n1 + n0, e1 + e0, n1 + n0
+    staged = sums.select("annotator", "answers", bound(e1, n1).alias("b1"), bound(e0, n0).alias("b0"), (2 * e1 > n1).alias("t1"), (2 * e0 > n0).alias("t0"))
+    w = lambda b, turned: F.when(turned, F.log((1 - b) / b)).otherwise(0.0)
+    turned = lambda b, t: F.when(t, 1 - b).otherwise(b)
+    return staged.select(
+        "annotator", "answers", turned(F.col("b1"), F.col("t1")).alias("miss"), turned(F.col("b0"), F.col("t0")).alias("alarm"),
+        (w(F.col("b0"), ~F.col("t0")) - w(F.col("b1"), F.col("t1"))).alias("for_yes"), (w(F.col("b0"), F.col("t0")) - w(F.col("b1"), ~F.col("t1"))).alias("for_no"), F.lit(prior).alias("prior"),
+    )
 
 
 def believed(claims: DataFrame, weighted: DataFrame) -> DataFrame:
-    """CLAIMS with ``t``, the probability of label 1 of their item under the weights; a reviewed label stays."""
+    """CLAIMS with ``margin``, by how much label 1 is nearer to all claims on their item, and ``t``, the nearer label; a reviewed one stays."""
     say = F.col("x") * F.col("for_yes") + (1 - F.col("x")) * F.col("for_no")
-    of = Window.partitionBy("item")
-    odds = claims.join(weighted, "annotator").withColumn("_odds", F.sum(say).over(of) + F.col("prior"))
-    return odds.withColumn("t", F.coalesce("known", 1 / (1 + F.exp(-F.col("_odds")))))
+    margin = F.sum(say).over(Window.partitionBy("item")) + F.col("prior")
+    known = F.when(F.col("known") > 0.5, 30.0).when(F.col("known").isNotNull(), -30.0)
+    return claims.join(weighted, "annotator").withColumn("margin", F.coalesce(known, margin)).withColumn("t", (F.col("margin") > 0).cast("double"))
 
 
-def sums_of(believed_claims: DataFrame) -> DataFrame:
+def sums_of(labelled: DataFrame) -> DataFrame:
     """Per annotator the distances between its claims and the labels, for both labels; pre-aggregated before the shuffle."""
-    t, x = F.col("t"), F.col("x")
-    per_item = 1 / F.count(F.lit(1)).over(Window.partitionBy("item"))
-    return believed_claims.withColumn("_part", per_item).groupBy("annotator").agg(
-        F.sum(t).alias("n1"), F.sum(t * (1 - x)).alias("e1"), F.sum(1 - t).alias("n0"), F.sum((1 - t) * x).alias("e0"),
-        F.sum(t * F.col("_part")).alias("yes"), F.sum("_part").alias("items"), F.count(F.lit(1)).alias("answers"),
+    t, x, n = F.col("t"), F.col("x"), F.col("n")
+    per_item = n / F.count(F.lit(1)).over(Window.partitionBy("item"))
+    return labelled.withColumn("_part", per_item).groupBy("annotator").agg(
+        F.sum(t * n).alias("n1"), F.sum(t * (1 - x) * n).alias("e1"), F.sum((1 - t) * n).alias("n0"), F.sum((1 - t) * x * n).alias("e0"),
+        F.sum(t * F.col("_part")).alias("yes"), F.sum("_part").alias("items"), F.sum("n").alias("answers"),
     )
 
 
-def discover(claims: DataFrame, known: DataFrame | None = None, rounds: int = 25, settled: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """(CLAIMS with ``t``, weights per annotator): labels and weights in turn until no error rate moves by SETTLED.
+def by_pattern(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims of one item of each pattern with the number ``n`` of its items, item to ``pattern``).
+
+    Items on which the same annotators claim the same are alike; with few annotators there are far fewer patterns than
+    items. A pattern is told by hashes of its claims that are combined before the shuffle, so no item's claims are collected.
+    """
+    h = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "annotator", "x"))
+    items = claims.groupBy("item").agg(h(1).alias("h1"), h(2).alias("h2"), F.count(F.lit(1)).alias("c"), F.max("known").alias("known"))
+    kinds = items.groupBy("h1", "h2", "c", "known").agg(F.min("item").alias("pattern"), F.count(F.lit(1)).alias("n"))
+    kinds = cut(kinds)
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("c") == F.col("_c")) & F.col("known").eqNullSafe(F.col("_known"))
+    of = kinds.select("pattern", *[F.col(k).alias(f"_{k}") for k in ("h1", "h2", "c", "known")])
+    one = claims.join(kinds.select(F.col("pattern").alias("item"), "n"), "item")
+    return one, items.join(of, same).select("item", "pattern")
+
 
-    Confidence-aware truth discovery with one error variance per annotator and label, as annotators err in one
-    direction: each is replaced by its chi-squared upper confidence bound, so that a contributor of few answers gets
-    little weight however well they agree; each label is the one with the smallest weighted distance to the claims,
-    in log odds. KNOWN (item, known) has reviewed labels that stay.
+class Truth(NamedTuple):
+    """What :func:`discover` found: labelled claims, weighted annotators, rounds taken and whether they settled."""
 
-    Claims are partitioned by item once; a round then shuffles one row per annotator and task. After the mean per
-    annotator an item has one claim per annotator, so no item is large. Annotators may be many: their weights are
-    joined as a table that Spark broadcasts only when it is small.
+    claims: DataFrame
+    annotators: DataFrame
+    rounds: int
+    moved: float
+
+
+def discover(claims: DataFrame, known: DataFrame | None = None, rounds: int = 100, settled: float = 1e-9, per_label: bool = True) -> Truth:
+    """Labels and weights in turn until no bound moves by more than SETTLED, for CLAIMS (item, annotator, x).
+
+    Confidence-aware truth discovery: an annotator's weight comes from the chi-squared upper confidence bound of its
+    error variance, so that a contributor of few answers gets little however well they agree; each label is the one
+    with the smallest weighted distance to the claims on its item. PER_LABEL keeps a variance for each label, as
+    annotators err in one direction; without it there is one. KNOWN (item, known) has reviewed labels that stay.
+
+    Rounds look at one item of each pattern of claims, partitioned by item once; a round shuffles one row per annotator
+    and task. After the mean per annotator an item has one claim per annotator. Annotators may be many: their weights
+    are joined as a table that Spark broadcasts only when it is small. Should ROUNDS end first, ``moved`` says how far
+    the last one still moved a bound. Empty claims give empty results.
     """
     if known is None:
         known = claims.sparkSession.createDataFrame([], "item bigint, known double")
     one = known.filter("item is not null and known is not null").groupBy("item").agg(F.avg("known").alias("known"))
     claims = cut(claims.join(one, "item", "left").select("item", "annotator", "x", "known"))
-    held = claims.repartition("item").sortWithinPartitions("item").persist(StorageLevel.MEMORY_AND_DISK)
-    start = held.withColumn("t", F.coalesce("known", F.avg("x").over(Window.partitionBy("item"))))
-    sums = cut(sums_of(start))
-    now = weights(sums)
-    for _ in range(rounds):
-        next_sums = cut(sums_of(believed(held, now)))
-        new = weights(next_sums)
-        old = now.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a"))
-        moved = new.join(old, "annotator").agg(F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))).first()[0]
-        drop(sums)
-        sums, now = next_sums, new
-        if moved is None or moved < settled:
+    patterns, items = by_pattern(claims)
+    held = patterns.repartition("item").sortWithinPartitions("item").persist(StorageLevel.MEMORY_AND_DISK)
+    majority = F.coalesce("known", F.avg("x").over(Window.partitionBy("item"))) > 0.5
+    sums = cut(sums_of(held.withColumn("t", majority.cast("double"))))
+    now, moved, done = None, math.inf, 0
+    while True:
+        yes, total = (v or 0.0 for v in sums.agg(F.sum("yes"), F.sum("items")).first())
+        new = weights(sums, math.log((yes + 0.5) / (max(0.0, total - yes) + 0.5)), per_label)
+        if now is not None:
+            old = now.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a"))
+            moved = new.join(old, "annotator").agg(F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))).first()[0] or 0.0
+        now = new
+        if moved <= settled or done == rounds or not total:
             break
+        sums, done = cut(sums_of(believed(held, now))), done + 1
+    labels = cut(believed(held, now).select(F.col("item").alias("pattern"), "margin", "t").distinct())
     held.unpersist()
-    return believed(claims, now), now
+    return Truth(claims.join(items, "item").join(labels, "pattern").drop("pattern"), now, done, moved)
 
 
-def _discovered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _discovered(spark: SparkSession, sf_dir: str) -> Truth:
     claims = usable(table(spark, sf_dir, "engine_results"), "scan_id", "engine", "verdict", "threat_score")
     reviewed = table(spark, sf_dir, "scan_labels").select(F.col("scan_id").alias("item"), claim_of(F.col("verdict")).alias("known"))
     return discover(claims, reviewed)
 
 
-def labels_of(believed_claims: DataFrame) -> DataFrame:
-    """One row per item: ``probability``, ``agreement`` (share of the claims on the side of the label) and ``answers``."""
+def labels_of(labelled_claims: DataFrame) -> DataFrame:
+    """One row per item: its label ``t``, the ``probability`` that its margin stands for, ``agreement`` (share of the claims on the side of the label) and ``answers``."""
     side = F.when(F.col("t") > 0.5, F.col("x")).otherwise(1 - F.col("x"))
-    return believed_claims.groupBy("item").agg(F.max("t").alias("probability"), F.avg(side).alias("agreement"), F.count(F.lit(1)).alias("answers"))
+    probability = 1 / (1 + F.exp(-F.max("margin")))
+    return labelled_claims.groupBy("item").agg(F.max("t").alias("t"), probability.alias("probability"), F.avg(side).alias("agreement"), F.count(F.lit(1)).alias("answers"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, _ = _discovered(spark, sf_dir)
-    return labels_of(claims).filter("probability > 0.5").select(F.col("item").alias("scan_id"))
+    return labels_of(_discovered(spark, sf_dir).claims).filter("t > 0.5").select(F.col("item").alias("scan_id"))
 
 
 def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, _ = _discovered(spark, sf_dir)
-    verdict = F.when(F.col("probability") > 0.5, "PHISHING").otherwise("LEGITIMATE")
-    return labels_of(claims).select(F.col("item").alias("scan_id"), verdict.alias("verdict"), F.round("probability", 6).alias("probability"), F.round("agreement", 6).alias("agreement"), "answers")
+    verdict = F.when(F.col("t") > 0.5, "PHISHING").otherwise("LEGITIMATE")
+    found = labels_of(_discovered(spark, sf_dir).claims)
+    return found.select(F.col("item").alias("scan_id"), verdict.alias("verdict"), F.round("probability", 6).alias("probability"), F.round("agreement", 6).alias("agreement"), "answers")
 
 
 def p1_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per engine how far it can be trusted: its balanced accuracy under the bounds, beside the reliability it claims."""
-    _, weighted = _discovered(spark, sf_dir)
+    found = _discovered(spark, sf_dir)
     named = table(spark, sf_dir, "engines").select(annotator_of(F.col("name")).alias("annotator"), F.col("name").alias("engine"), F.col("reliability").alias("claimed"))
     trust = 1 - (F.col("miss") + F.col("alarm")) / 2
-    return weighted.join(named, "annotator", "left").select(
-        F.coalesce("engine", "annotator").alias("engine"), "answers", F.round("miss", 6).alias("miss_rate"), F.round("alarm", 6).alias("false_alarm_rate"), F.round(trust, 6).alias("reliability"), "claimed"
-    )
+    return found.annotators.join(named, "annotator", "left").select(
+        F.coalesce("engine", "annotator").alias("engine"), "answers", F.round("miss", 6).alias("miss_rate"), F.round("alarm", 6).alias("false_alarm_rate"), F.round(trust, 6).alias("reliability"), "claimed",
+        F.lit(found.moved <= 1e-9).alias("settled"),
+    )
 
 
 QUERIES = {"p1_found": p1_found, "p1_consensus": p1_consensus, "p1_engines": p1_engines}
