@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurescope.llm.urlkeys import wide_hash, with_parts
@@ -126,17 +126,14 @@ def without_one(keys: DataFrame) -> DataFrame:
 KINDS = ("same", "edit", "parameter")
 
 
-def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: str = "url", split_col: str = "split", train: str = "train", edits: int = EDITS) -> DataFrame:
-    """Pairs of rows ``train_id, other_id, kind``, one in TRAIN and one in another split, with the same or nearly the same URL.
+def linked_keys(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: str = "url", split_col: str = "split", train: str = "train", edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """(pairs of keys, rows): ``l1, l2, r1, r2, kind`` for each two keys, one of TRAIN and one of another split, that are
+    the same or nearly the same, and ``id, k1, k2, t, e`` for each row and key, with the sides it is on.
 
-    Copies meet as one key, so that a group of copies of any size is compared once; ``kind`` is ``same``, ``edit``
-    (at most EDITS letters or digits inserted, removed or replaced in the canonical key) or ``parameter`` (one has
-    one query parameter more), the first of them that holds. Rows without an id, a URL or a split take no part; a row
-    listed in several splits takes part in each, one that stands several times once. Empty tables give an empty
-    result; other columns are not looked at.
+    Copies meet as one key here, so that a group of copies of any size is compared once.
     """
-    named = splits.select(F.col(id_col).alias("id"), F.lower(F.trim(split_col)).alias("_split")).filter("id is not null and _split is not null and _split != ''")
-    named = named.groupBy("id").agg(F.max(F.col("_split") == train).alias("t"), F.max(F.col("_split") != train).alias("e"))
+    named = named_splits(splits, id_col, split_col)
+    named = named.groupBy("id").agg(F.max(F.col("split") == train).alias("t"), F.max(F.col("split") != train).alias("e"))
     keyed = cut(keyed_rows(df, id_col, url))
     rows = cut(keyed.select("id", "k1", "k2").join(named, "id"))
     sides = rows.groupBy("k1", "k2").agg(F.max("t").alias("t"), F.max("e").alias("e"))
@@ -158,41 +155,71 @@ def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: s
     joined = without_one(marked).join(whole, ["m1", "m2"])
     longer, shorter = (joined.filter(c).select(*pair(a, b, "parameter")) for c, a, b in (("t and _e", "k", "m"), ("_t and e", "m", "k")))
     pairs = same.unionByName(edited).unionByName(longer).unionByName(shorter)
+    return pairs.groupBy("l1", "l2", "r1", "r2").agg(F.min("kind").alias("kind")), rows
+
+
+def named_splits(splits: DataFrame, id_col: str, split_col: str) -> DataFrame:
+    """``id, split`` without blanks and case, once each; null or blank ones are left out."""
+    return splits.select(F.col(id_col).alias("id"), F.lower(F.trim(split_col)).alias("split")).filter("id is not null and split is not null and split != ''").distinct()
+
+
+def kind_name(kind: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, KINDS)), kind + 1)
+
+
+def overlaps(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: str = "url", split_col: str = "split", train: str = "train", edits: int = EDITS) -> DataFrame:
+    """Pairs of rows ``train_id, other_id, kind``, one in TRAIN and one in another split, with the same or nearly the same URL.
+
+    ``kind`` is ``same``, ``edit`` (at most EDITS letters or digits inserted, removed or replaced in the canonical key)
+    or ``parameter`` (one has one query parameter more), the first of them that holds. Rows without an id, a URL or a
+    split take no part; a row listed in several splits takes part in each, one that stands several times once. Empty
+    tables give an empty result; other columns are not looked at.
+    """
+    pairs, rows = linked_keys(df, splits, id_col, url, split_col, train, edits)
     ours = rows.filter("t").select(F.col("id").alias("train_id"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
     theirs = rows.filter("e").select(F.col("id").alias("other_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
     found = pairs.join(ours, ["l1", "l2"]).join(theirs, ["r1", "r2"]).filter("train_id != other_id")
     first = found.groupBy("train_id", "other_id").agg(F.min("kind").alias("kind"))
-    return first.select("train_id", "other_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("kind"))
-
-
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "merged_phishing_multimodal_dataset"), table(spark, sf_dir, "dataset_splits"))
+    return first.select("train_id", "other_id", kind_name(F.col("kind")).alias("kind"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
+    pairs = overlaps(table(spark, sf_dir, "merged_phishing_multimodal_dataset"), table(spark, sf_dir, "dataset_splits"))
     return pairs.select(F.least("train_id", "other_id").alias("id_a"), F.greatest("train_id", "other_id").alias("id_b")).distinct()
 
 
-def counted(pairs: DataFrame, rows: DataFrame, splits: DataFrame) -> DataFrame:
-    """PAIRS per split, source of the evaluation row and kind: pairs, evaluation rows with one, pairs whose labels differ.
+def overlap_counts(df: DataFrame, splits: DataFrame, id_col: str = "record_id", url: str = "url", split_col: str = "split", source: str = "dataset_source", label: str = "label", train: str = "train") -> DataFrame:
+    """Per SPLIT, SOURCE of the evaluation row and kind: ``pairs``, evaluation rows that have one (``rows_touched``) and
+    pairs whose labels are both known and differ (``labels_differ``). All counts are exact.
 
-    All counts are exact. Pairs are summed up per evaluation row first, so that rows are counted as rows, without a set
-    of ids in any task.
+    No pair of rows is made: rows are counted per key and label, the counts of the training keys are summed up along the
+    pairs of keys and multiplied with those of the evaluation keys, so that a URL of a million copies is one row. A
+    record that stands several times with one URL counts once, with the largest of its sources and labels; with several
+    URLs, once for each. A record in train and in another split is no partner of itself.
     """
-    listed = splits.select(F.col("record_id").alias("other_id"), "split")
-    ours = rows.select(F.col("record_id").alias("train_id"), F.col("label").alias("_label"))
-    theirs = rows.select(F.col("record_id").alias("other_id"), "dataset_source", "label")
-    joined = pairs.join(ours, "train_id").join(theirs, "other_id").join(listed, "other_id")
-    differ = F.count_if(F.col("label").isNotNull() & F.col("_label").isNotNull() & (F.col("label") != F.col("_label")))
-    each = joined.groupBy("split", "dataset_source", "kind", "other_id").agg(F.count(F.lit(1)).alias("n"), differ.alias("differ"))
-    return each.groupBy("split", "dataset_source", "kind").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("rows_touched"), F.sum("differ").alias("labels_differ"))
+    pairs, rows = linked_keys(df, splits, id_col, url, split_col, train)
+    known = df.select(F.col(id_col).alias("id"), F.col(source).alias("_source"), F.col(label).alias("_label")).filter("id is not null")
+    known = known.groupBy("id").agg(F.max("_source").alias("source"), F.max("_label").alias("label"))
+    rows = cut(rows.distinct().join(known, "id"))
+    trained = rows.filter("t").groupBy(F.col("k1").alias("l1"), F.col("k2").alias("l2"), "label").agg(F.count(F.lit(1)).alias("n"))
+    near = cut(pairs.join(trained, ["l1", "l2"]).groupBy("r1", "r2", "kind", "label").agg(F.sum("n").alias("n")))
+    partners = near.groupBy("r1", "r2", "kind").agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("label").isNotNull(), F.col("n"))).alias("_known"))
+    listed = named_splits(splits, id_col, split_col).filter(F.col("split") != train)
+    judged = rows.filter("e").join(listed, "id").groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "split", "source", "label", "t").agg(F.count(F.lit(1)).alias("_rows"))
+    equal = near.filter("label is not null").select("r1", "r2", "kind", "label", F.col("n").alias("_equal"))
+    met = judged.join(partners, ["r1", "r2"]).join(equal, ["r1", "r2", "kind", "label"], "left")
+    itself = F.when((F.col("kind") == KINDS.index("same")) & F.col("t"), 1).otherwise(0)
+    met = met.withColumn("_others", F.col("_all") - itself).filter("_others > 0")
+    differ = F.when(F.col("label").isNotNull(), F.coalesce("_known", F.lit(0)) - F.coalesce("_equal", F.lit(0))).otherwise(0)
+    counts = met.groupBy("split", "source", "kind").agg(
+        F.sum(F.col("_rows") * F.col("_others")).alias("pairs"), F.sum("_rows").alias("rows_touched"), F.sum(F.col("_rows") * differ).alias("labels_differ")
+    )
+    return counts.select("split", F.col("source").alias("dataset_source"), kind_name(F.col("kind")).alias("kind"), "pairs", "rows_touched", "labels_differ")
 
 
 def p4_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlaps counted per split, source of the evaluation row and kind, with how often the labels differ."""
-    rows = table(spark, sf_dir, "merged_phishing_multimodal_dataset").select("record_id", "dataset_source", "label")
-    return counted(_pairs(spark, sf_dir), rows, table(spark, sf_dir, "dataset_splits"))
+    return overlap_counts(table(spark, sf_dir, "merged_phishing_multimodal_dataset"), table(spark, sf_dir, "dataset_splits"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_overlaps": p4_overlaps}
