@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,18 @@ from lurescope.plans.ranking import buckets_for, running
 from lurescope.session import table
 
 
-def quality(text: Column) -> Column:
-    """Weight between 0.05 and 1: the share of letters and spaces, so that markup and noise are drawn less often."""
-    return F.transform(F.array(text), lambda t: F.greatest(F.lit(0.05), F.length(F.regexp_replace(t, r"[^\p{L} ]+", "")) / F.greatest(F.length(t), F.lit(1))))[0]
+def with_quality(sized: DataFrame) -> DataFrame:
+    """SIZED (source, tokens, chars, lang) with ``weight`` between 0.05 and 1: how well the vocabulary covers a text.
+
+    A tokenizer was trained on ordinary language: it takes few tokens for it and many for markup, noise and broken
+    words. Languages differ in this, so a text's characters a token are set against those of all texts of its language,
+    as far as the language is known; the measure is learned from the corpus, whole texts and all of them.
+    """
+    lang = F.coalesce(F.nullif(F.substring(F.regexp_replace(F.lower("lang"), "[^a-z]+", ""), 1, 2), F.lit("")), F.lit("?"))
+    rows = sized.withColumn("_lang", lang)
+    usual = rows.filter("tokens > 0").groupBy("_lang").agg((F.sum("chars") / F.sum("tokens")).alias("_usual"))
+    own = F.col("chars") / F.greatest(F.col("tokens"), F.lit(1))
+    return rows.join(usual, "_lang", "left").withColumn("weight", F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.pow(own / F.col("_usual"), 2)))).drop("_lang", "_usual")
 
 
 def plan_of(available: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -38,41 +48,73 @@ def plan_of(available: DataFrame, targets: DataFrame, total_tokens: float | None
     return each.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.col("budget") - F.col("epochs") * F.col("available"), F.lit(0.0)))
 
 
+def sampling_key(seed: int, weight: Column, *of: str) -> Column:
+    """An exponential key -ln(u) / WEIGHT with a seeded uniform u of the columns OF: the smallest keys are the sample."""
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.ln(uniform) / weight
+
+
+def with_buckets(rows: DataFrame, per_bucket: int = 100_000) -> DataFrame:
+    """ROWS with ``_quantile``: between which quantiles of its source's keys ``_key`` lies, so that buckets are alike in size whatever the weights."""
+    n = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    b = buckets_for(n.agg(F.max("n")).first()[0] or 0, per_bucket)
+    if b == 1:
+        return rows.withColumn("_quantile", F.lit(0))
+    cuts = F.array(*[F.lit(k / b) for k in range(1, b)])
+    bounds = rows.groupBy("source").agg(F.percentile_approx("_key", cuts, F.lit(100 * b)).alias("_cuts"))
+    return rows.join(bounds, "source").withColumn("_quantile", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")
+
+
+def filled(candidates: DataFrame) -> DataFrame:
+    """``mix_name, id`` of the CANDIDATES (mix_name, source, id, tokens, _key, _gap) that fit, one after the other by key, into what is left of the gap."""
+    kind = candidates.schema["id"].dataType.simpleString()
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_key", "id"])
+        gap, taken = float(rows["_gap"].iloc[0]), []
+        for i, t in zip(rows["id"].tolist(), rows["tokens"].tolist()):
+            if t <= gap:
+                gap -= t
+                taken.append(i)
+        return pd.DataFrame({"mix_name": rows["mix_name"].iloc[0], "id": taken})
+
+    return candidates.groupBy("mix_name", "source").applyInPandas(fill, f"mix_name string, id {kind}")
+
+
 def mixed(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
     """``mix_name, id, source, tokens, uses`` of all documents that a mix uses, from DOCS (id, source, tokens, weight).
 
-    Each source goes through its complete epochs first. The fraction left is filled in the order of exponential keys,
-    scaled by the document's weight, as far as the running sum stays within the token budget; what the first document
-    too large leaves open is filled in the same way with those behind it that still fit, until no unused document fits in
-    any gap; a pass takes at least the first that fits, so this ends. Running
-    sums are pre-aggregated in buckets of the keys, so that a source with a third of all documents is never sorted in
-    one task. Documents without tokens, id or source are not used.
+    Each source goes through its complete epochs first. The fraction left is drawn in the order of the sampling keys:
+    documents are taken as far as the running sum stays within the token budget, and of those behind each that still
+    fits into what is left, one after the other, until no unused document does. A gap is smaller than one document,
+    and of documents of t tokens only the first gap / t can ever fit, so few candidates reach this last step however
+    large a source is. Running sums are pre-aggregated in buckets of the keys, so that a source with a third of all
+    documents is never sorted in one task. Documents without tokens, id or source are not used; a null weight counts
+    as 1, one of 0 or less as 1e-6.
     """
     docs = docs.select("id", "source", "tokens", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-6)).alias("weight"))
     docs = docs.filter("tokens > 0 and id is not null and source is not null")
-    stats = docs.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n"))
-    plan = cut(plan_of(stats.select("source", "available"), targets, total_tokens).select("mix_name", "source", "repeats", "epochs", "rest"))
-    b = buckets_for(stats.agg(F.max("n")).first()[0] or 0)
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = docs.join(plan.select("mix_name", "source", "epochs"), "source").withColumn("_low", 1 - F.pow(uniform, 1 / F.col("weight")))
-    rows, gaps = rows.withColumn("more", F.lit(0)), plan.filter("epochs < repeats").select("mix_name", "source", F.col("rest").alias("_gap"))
-    while True:
-        fitting = rows.join(gaps, ["mix_name", "source"], "left").withColumn("_try", (F.col("more") == 0) & (F.col("tokens") <= F.coalesce("_gap", F.lit(0.0))))
-        weight = F.when(F.col("_try"), F.col("tokens")).otherwise(0)
-        ordered = running(fitting, ["mix_name", "source"], F.floor(F.col("_low") * b).cast("int"), [F.col("_low"), F.col("id")], weight)
-        take = F.col("_try") & (F.col("before") + F.col("tokens") <= F.col("_gap"))
-        rows = cut(ordered.withColumn("more", F.when(take, 1).otherwise(F.col("more"))).drop("_gap", "_try", "before"))
-        filled = rows.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("more")).alias("_sum"), F.min(F.when(F.col("more") == 0, F.col("tokens"))).alias("_least"))
-        left = plan.filter("epochs < repeats").join(filled, ["mix_name", "source"])
-        gaps = cut(left.select("mix_name", "source", (F.col("rest") - F.col("_sum")).alias("_gap"), "_least").filter("_least <= _gap").drop("_least"))
-        if gaps.isEmpty():
-            break
-    return rows.select("mix_name", "id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("uses")).filter("uses > 0")
+    stats = docs.groupBy("source").agg(F.sum("tokens").alias("available"))
+    plan = cut(plan_of(stats, targets, total_tokens).select("mix_name", "source", "repeats", "epochs", "rest"))
+    rows = docs.join(plan, "source").withColumn("_key", sampling_key(seed, F.col("weight"), "mix_name", "id"))
+    rows = cut(with_buckets(rows.drop("weight")))
+    open_rest = F.when(F.col("epochs") < F.col("repeats"), F.col("rest")).otherwise(0.0)
+    group, order = ["mix_name", "source"], [F.col("_key"), F.col("id")]
+    ordered = running(rows, group, F.col("_quantile"), order, F.col("tokens"))
+    rows = cut(ordered.withColumn("more", (F.col("before") + F.col("tokens") <= open_rest).cast("int")).drop("before"))
+    sums = rows.groupBy(*group).agg(F.sum(F.col("tokens") * F.col("more")).alias("_sum"))
+    gaps = plan.filter("epochs < repeats").join(sums, group).select(*group, (F.col("rest") - F.col("_sum")).alias("_gap"))
+    small = rows.filter("more = 0").join(gaps, group).filter("tokens <= _gap")
+    ranked = running(small, [*group, "tokens"], F.col("_quantile"), order, F.lit(1), "_rank")
+    late = filled(ranked.filter(F.col("_rank") < F.floor(F.col("_gap") / F.col("tokens"))).select(*group, "id", "tokens", "_key", "_gap")).withColumn("_late", F.lit(1))
+    uses = F.col("epochs") + F.col("more") + F.coalesce("_late", F.lit(0))
+    return rows.join(late, ["mix_name", "id"], "left").select("mix_name", "id", "source", "tokens", uses.alias("uses")).filter("uses > 0")
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = token_sizes(table(spark, sf_dir, "documents"), keep={"source": F.col("source"), "weight": quality(F.col("text"))})
-    return cut(docs), table(spark, sf_dir, "mix_targets")
+    keep = {"source": F.col("source"), "lang": F.col("lang"), "chars": F.length("text")}
+    sized = cut(token_sizes(table(spark, sf_dir, "documents"), keep=keep))
+    return cut(with_quality(sized)), table(spark, sf_dir, "mix_targets")
 
 
 def p6_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
