@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,18 +16,22 @@ from lurescope.functions.scripts import markup_flags
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Attributes that features look at.
 KEPT = ("href", "src", "action", "style", "width", "height", "type")
-#: Features of a page without any markup.
+# Features of a page without any markup.
 EMPTY = {"dom_node_count": 10.0, "dom_max_depth": 2.0, "graph_avg_degree": 1.5, "request_url_ratio": 0.1, "url_of_anchor_ratio": 0.1, "links_in_tags_ratio": 0.1, "sfh_external": 0.0, "submitting_to_email": 0.0, "iframe_hidden": 0.0, "popup_window": 0.0, "right_click_disabled": 0.0, "on_mouseover": 0.0}
 NODES = "idx int, parent_idx int, depth int, tag string, n_children int, " + ", ".join(f"{a} string" for a in KEPT)
 
 
 class _Tree(HTMLParser):
-    """Collects elements with their parent by node identity; text nodes count as children."""
+    """Collects elements with their parent by node identity; text nodes count as children.
+
+    An end tag without an open element of its name is known as such without looking at the others, so time is linear.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.open_tags: Counter[str] = Counter()
         self.in_text = False
 
     def _child(self) -> None:
@@ -40,17 +45,23 @@ class _Tree(HTMLParser):
         self.rows.append([len(self.rows), self.open[-1] if self.open else None, len(self.open) + 1, tag, 0, *[given.get(a) for a in KEPT]])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close()
+
+    def _close(self) -> str:
+        tag = self.rows[self.open.pop()][3]
+        self.open_tags[tag] -= 1
+        return tag
 
     def handle_endtag(self, tag: str) -> None:
         self.in_text = False
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.rows[self.open[k]][3] == tag), None)
-        if at is not None:
-            del self.open[at:]
+        if self.open_tags[tag]:
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if not self.in_text:
@@ -69,11 +80,16 @@ def elements(html: str | None) -> list[list]:
     return tree.rows
 
 
-def dom_nodes(pages: DataFrame, key: str, html: str, first: int | None = None, domain: str | None = None) -> DataFrame:
+def _nothing(html: str | None) -> list[list]:
+    return [[-1, None, 0, "none" if (html or "").strip() else "blank", 0, *[None] * len(KEPT)]]
+
+
+def dom_nodes(pages: DataFrame, key: str, html: str, first: int | None = None, domain: str | None = None, stand_ins: bool = False) -> DataFrame:
     """``KEY`` and a row per element: index, parent, depth (document = 0), tag, number of children, looked-at attributes.
 
     FIRST keeps only so many elements of a page, as the graph features do; everything else sees all of them. DOMAIN, a
-    string column, goes along with each element, so that no join has to bring it back.
+    string column, goes along with each element, so that no join has to bring it back. With STAND_INS a page without
+    elements has one row of index -1, with the tag ``blank`` or, if it has text, ``none``.
     """
     names = [c.split()[0] for c in NODES.split(", ")]
     kind = pages.schema[key].dataType.simpleString()
@@ -83,7 +99,7 @@ def dom_nodes(pages: DataFrame, key: str, html: str, first: int | None = None, d
             for k in range(0, len(batch), 64):
                 part = batch.iloc[k : k + 64]
                 along = part[domain] if domain else part[key]
-                rows = [(i, d, *r) for i, d, text in zip(part[key], along, part[html]) for r in elements(text)[:first]]
+                rows = [(i, d, *r) for i, d, text in zip(part[key], along, part[html]) for r in elements(text)[:first] or (_nothing(text) if stand_ins else [])]
                 if rows:
                     out = pd.DataFrame(rows, columns=[key, "_domain", *names])[[key, *extra, *names]]
                     yield out.astype({"idx": "int32", "depth": "int32", "n_children": "int32", "parent_idx": "Int32"})
@@ -140,11 +156,21 @@ def dom_features(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
 PLACES = {"html": 0, "body": 0, "form": 1, "a": 4, "script": 5, "img": 6, "iframe": 7, "div": 8}
 
 
+# The graphs of pages without any element: the place set in each node's features (none: -1), edges, density.
+STAND_INS = {
+    "blank": {"places": [0, 1, 2, -1, -1], "edges": [(0, 1), (0, 2), (1, 2), (1, 3)], "density": 0.2},
+    "none": {"places": [0, 0, 0], "edges": [(0, 1), (1, 2)], "density": 0.3},
+}
+
+
 def node_features(pages: DataFrame, key: str, html: str, url: str, first: int = 200) -> DataFrame:
-    """``KEY, idx, parent_idx, x``: the 14 features of the first elements of each page, for graph models."""
+    """``KEY, idx, parent_idx, x, stand_in``: the 14 features of the first elements of each page, for graph models.
+
+    A blank page and one without elements have the nodes of :data:`STAND_INS`, so that every page has a graph.
+    """
     domain = F.regexp_extract(F.when(F.col(url).contains("://"), F.col(url)).otherwise(F.concat(F.lit("http://"), F.coalesce(url, F.lit("")))), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
     named = pages.withColumn("_domain", F.when(domain == "", "example.com").otherwise(domain))
-    nodes = dom_nodes(named.filter(F.trim(html) != ""), key, html, first, "_domain")
+    nodes = dom_nodes(named, key, html, first, "_domain", stand_ins=True)
     place = F.lit(9)
     for tag, k in PLACES.items():
         place = F.when(F.col("tag") == tag, k).otherwise(place)
@@ -156,17 +182,28 @@ def node_features(pages: DataFrame, key: str, html: str, url: str, first: int =
     ]
     joined = nodes.withColumn("_place", place)
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (k == F.col("_place")).cast("double"))
-    return joined.select(key, "idx", "parent_idx", F.concat(one_hot, F.array(*[c.cast("double") for c in extra])).alias("x"))
+    own = F.array(F.struct("idx", "parent_idx", F.concat(one_hot, F.array(*[c.cast("double") for c in extra])).alias("x"), F.lit(None).cast("string").alias("stand_in")))
+    made = lambda name: F.array(*[
+        F.struct(F.lit(k).alias("idx"), F.lit(None).cast("int").alias("parent_idx"), F.array(*[F.lit(1.0 if j == hot else 0.0) for j in range(14)]).alias("x"), F.lit(name).alias("stand_in"))
+        for k, hot in enumerate(STAND_INS[name]["places"])
+    ])
+    graph = F.when(F.col("idx") >= 0, own).when(F.col("tag") == "blank", made("blank")).otherwise(made("none"))
+    return joined.select(key, F.inline(graph))
 
 
 def graph_edges(nodes: DataFrame, key: str) -> DataFrame:
-    """Edges between kept elements and their parents in both directions; a page without any gets a loop at 0.
+    """Edges between kept elements and their parents in both directions; a page with a single element gets a loop at 0.
 
-    A parent comes before its children, so a kept element's parent is kept, too, and no join is needed.
+    A parent comes before its children, so a kept element's parent is kept, too, and no join is needed. Stand-ins have
+    edges of their own, in one direction.
     """
-    child = nodes.filter("parent_idx is not null").select(key, F.col("parent_idx").alias("src"), F.col("idx").alias("dst"))
-    both = child.select(key, F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select(key, "e.*")
-    alone = nodes.groupBy(key).agg(F.count("parent_idx").alias("n")).filter("n = 0").select(key, F.lit(0).alias("src"), F.lit(0).alias("dst"))
+    edge = lambda a, b: F.struct(a.cast("int").alias("src"), b.cast("int").alias("dst"))
+    src, dst = F.col("parent_idx"), F.col("idx")
+    fixed = lambda name: F.array(*[edge(F.lit(a), F.lit(b)) for a, b in STAND_INS[name]["edges"]])
+    first = F.col("idx") == 0
+    mine = F.when(src.isNotNull(), F.array(edge(src, dst), edge(dst, src))).when(first & (F.col("stand_in") == "blank"), fixed("blank")).when(first & (F.col("stand_in") == "none"), fixed("none"))
+    both = nodes.select(key, F.explode(mine).alias("e")).select(key, "e.*")
+    alone = nodes.filter("stand_in is null").groupBy(key).agg(F.count("parent_idx").alias("n")).filter("n = 0").select(key, F.lit(0).alias("src"), F.lit(0).alias("dst"))
     return both.unionByName(alone)
 
 
@@ -175,16 +212,16 @@ def graph_stats(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
 
     Blank pages and pages without elements have the fixed stand-ins of the graph model.
     """
-    nodes = node_features(pages, key, html, url)
+    nodes = node_features(pages, key, html, url).filter("stand_in is null")
     at = lambda k: F.element_at("x", k + 1) > 0
     sums = nodes.groupBy(key).agg(
         F.count(F.lit(1)).alias("node_count"), (2 * F.count("parent_idx")).alias("_edges"), F.count_if(at(1) & at(12)).alias("hidden_form_nodes"), F.count_if(at(2) & at(11)).alias("external_password_nodes")
     )
-    blank = F.coalesce(F.trim(html) == "", F.lit(True))
+    blank = F.coalesce(F.regexp_replace(html, r"(?U)[\s\x1c-\x1f]+", "") == "", F.lit(True))
     edges = F.greatest("_edges", F.lit(1))
     density = edges / F.greatest(F.lit(1), F.col("node_count") * (F.col("node_count") - 1))
     pick = lambda empty, none, real: F.when(F.col("_blank"), empty).when(F.col("node_count").isNull(), none).otherwise(real)
     return pages.select(key, blank.alias("_blank")).join(sums, key, "left").select(
-        key, pick(5, 3, F.col("node_count")).alias("node_count"), pick(4, 2, edges).alias("edge_count"), F.round(pick(0.2, 0.3, density), 6).alias("graph_density"),
+        key, pick(len(STAND_INS['blank']['places']), len(STAND_INS['none']['places']), F.col("node_count")).alias("node_count"), pick(len(STAND_INS['blank']['edges']), len(STAND_INS['none']['edges']), edges).alias("edge_count"), F.round(pick(STAND_INS['blank']['density'], STAND_INS['none']['density'], density), 6).alias("graph_density"),
         F.coalesce("hidden_form_nodes", F.lit(0)).alias("hidden_form_nodes"), F.coalesce("external_password_nodes", F.lit(0)).alias("external_password_nodes"),
     )

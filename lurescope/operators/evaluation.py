@@ -37,9 +37,20 @@ def roc_auc(df: DataFrame, prob: str, label: str) -> DataFrame:
     """Area under the ROC curve with ties counted half: one row per distinct score, then sums along the scores in buckets."""
     rows = df.select(F.col(prob).cast("double").alias("_score"), F.col(label).alias("_label")).filter("_score is not null and _label is not null")
     scores = rows.groupBy("_score").agg(F.count_if(F.col("_label") == 1).alias("_yes"), F.count_if(F.col("_label") != 1).alias("_no"))
-    low, high, n = rows.agg(F.min("_score"), F.max("_score"), F.count(F.lit(1))).first()
-    b = buckets_for(n)
-    bucket = F.floor((F.col("_score") - (low or 0.0)) / (((high or 0.0) - (low or 0.0)) or 1.0) * b).cast("bigint")
+    b = buckets_for(rows.count())
+    bucket = F.lit(0)
+    if b > 1:
+        cuts = scores.agg(F.percentile_approx("_score", [k / b for k in range(1, b)], 100 * b)).first()[0]
+        bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_score")))
     below = running(scores.withColumn("_all", F.lit(0)), ["_all"], bucket, [F.col("_score")], F.col("_no"), "_below")
     area = below.withColumn("_won", F.col("_yes") * (F.col("_below") + F.col("_no") / 2))
     return area.agg(F.round(F.sum("_won") / F.nullif(F.sum("_yes") * F.sum("_no"), F.lit(0)), 6).alias("roc_auc"))
+
+
+def epoch_measures(df: DataFrame, epoch: str, prob: str, label: str) -> DataFrame:
+    """Mean binary cross-entropy and accuracy in percent of the predictions of each EPOCH; certainty is cut off at 1e-12."""
+    p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col(prob)))
+    loss = -F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p))
+    right = ((F.col(prob) >= 0.5) == (F.col(label) == 1)).cast("double")
+    rows = df.filter(F.col(prob).isNotNull() & F.col(label).isNotNull())
+    return rows.groupBy(epoch).agg(F.count(F.lit(1)).alias("graphs"), F.round(F.avg(loss), 6).alias("loss"), F.round(F.avg(right) * 100, 6).alias("accuracy"))

@@ -73,7 +73,7 @@ def fused(scored: DataFrame) -> DataFrame:
 def modality_scores() -> Column:
     """The seven reported scores as a struct."""
     names = {"graph": "gnn_score", "panel": "llm_score", "visual": "visual_score", "classical": "ensemble_score", "text": "text_score", "anomaly": "isolation_score", "intel": "intel_score"}
-    return F.struct(*[F.round(c, 1).alias(k) for k, c in names.items()])
+    return F.struct(*[F.round(F.round(c, 6), 1).alias(k) for k, c in names.items()])
 
 
 def evidence_rows() -> Column:
@@ -104,8 +104,20 @@ def as_json(report: DataFrame, key: str) -> DataFrame:
     return report.select(key, F.to_json(F.struct("url", "verdict", "threat_score", "risk_level", "attack_category", "confidence", "action", modality_scores().alias("modality_scores"), evidence_rows().alias("evidence"))).alias("report"))
 
 
-def batch_scan(df: DataFrame, engines: DataFrame, url: str = "url", first: int | None = None, order: str | None = None) -> DataFrame:
-    """``url, verdict, threat_score, risk_level`` of each URL; blanks are left out after the first FIRST rows are taken."""
-    rows = df.orderBy(order).limit(first) if first is not None else df
+def batch_scan(df: DataFrame, engines: DataFrame, url: str = "url", first: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """``url, verdict, threat_score, risk_level`` of each URL; with FIRST only of the first rows in ORDER, taken before blanks are left out.
+
+    An empty list is refused.
+    """
+    if df.isEmpty():
+        raise ValueError("the list of URLs is empty")
+    rows = df.orderBy(*(order or [url])).limit(first) if first is not None else df
     rows = rows.select(F.regexp_replace(url, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("url")).filter("url != ''")
     return fused(with_scores(rows, engines)).select("url", "verdict", "threat_score", "risk_level")
+
+
+def scan_one(url: str | None, engines: DataFrame) -> DataFrame:
+    """The report of a single URL without its surrounding blanks; an empty one is refused."""
+    if url is None or not url.strip():
+        raise ValueError("the URL is empty")
+    return fused(with_scores(engines.sparkSession.createDataFrame([(url.strip(),)], "url string"), engines))

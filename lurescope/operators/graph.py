@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurescope.operators.dom import STAND_INS
+
 FEATURES, HIDDEN, HEADS = 14, 64, 2
 
 
@@ -41,6 +43,23 @@ def seeded_weights(seed: int = 42) -> dict[str, np.ndarray]:
     return {k: rng.normal(0, (2 / (s[0] + s[-1])) ** 0.5, s).astype("float32") for k, s in shapes.items()}
 
 
+WEIGHTS = "name string, shape array<int>, values array<float>"
+
+
+def save_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
+    """Writes a network's weights as Parquet, one row an array, in place of those at PATH."""
+    rows = [(k, list(w.shape), w.astype("float32").ravel().tolist()) for k, w in sorted(weights.items())]
+    spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str | None, seed: int = 42) -> dict[str, np.ndarray]:
+    """The weights stored at PATH, seeded ones without a path. A network is a handful of arrays, so they fit the driver."""
+    if path is None:
+        return seeded_weights(seed)
+    rows = spark.read.schema(WEIGHTS).parquet(path).limit(1000).collect()
+    return {r["name"]: np.array(r["values"], "float32").reshape(r["shape"]) for r in rows}
+
+
 def attention(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, a_src: np.ndarray, a_dst: np.ndarray) -> np.ndarray:
     """One layer: attention along edges relative to the strongest edge, summed at the target, mean of the heads, ELU."""
     h = np.einsum("nf,fhd->nhd", x, w)
@@ -62,7 +81,7 @@ def forward(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: dict[str, np.nda
 
 
 def graph_scores(nodes: DataFrame, key: str, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """``KEY, gnn_score, embedding`` from the rows of ``node_features``: at most 200 nodes a page, so groups are small."""
+    """``KEY, gnn_score, embedding`` of every page from the rows of ``node_features``: at most 200 nodes a page, so groups are small."""
     held = nodes.sparkSession.sparkContext.broadcast(weights or seeded_weights())
     kind = nodes.schema[key].dataType.simpleString()
 
@@ -72,15 +91,17 @@ def graph_scores(nodes: DataFrame, key: str, weights: dict[str, np.ndarray] | No
             for page, items in zip(batch[key], batch["items"]):
                 items = sorted(items, key=lambda r: r["idx"])
                 x = np.array([r["x"] for r in items], "float32")
-                links = [(r["parent_idx"], r["idx"]) for r in items if not pd.isna(r["parent_idx"])] or [(0, 0)]
-                src, dst = np.array(links, "int64").T
-                if len(links) > 1 or links[0] != (0, 0):
-                    src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
+                if items[0]["stand_in"] is not None:
+                    src, dst = np.array(STAND_INS[items[0]["stand_in"]]["edges"], "int64").T
+                else:
+                    links = [(r["parent_idx"], r["idx"]) for r in items if not pd.isna(r["parent_idx"])]
+                    both = links + [(b, a) for a, b in links] or [(0, 0)]
+                    src, dst = np.array(both, "int64").T
                 embedding, p = forward(x, src, dst, held.value)
                 rows.append((page, p, embedding.tolist()))
             yield pd.DataFrame(rows, columns=[key, "gnn_score", "embedding"])
 
-    grouped = nodes.groupBy(key).agg(F.collect_list(F.struct("idx", "parent_idx", "x")).alias("items"))
+    grouped = nodes.groupBy(key).agg(F.collect_list(F.struct("idx", "parent_idx", "x", "stand_in")).alias("items"))
     return grouped.mapInPandas(score, f"{key} {kind}, gnn_score double, embedding array<float>")
 
 

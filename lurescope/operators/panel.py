@@ -22,7 +22,7 @@ def with_points(df: DataFrame, url: str = "url") -> DataFrame:
     value = lambda name: F.coalesce(F.col(name), F.lit(0.0)) if name in df.columns else F.lit(0.0)
     staged = df.withColumn("_u", F.lower(url)).withColumn("_host", F.regexp_extract(F.lower(url), r"https?://([^/]+)", 1))
     staged = staged.withColumn("_host", F.when(F.col("_host") != "", F.col("_host")).otherwise(F.col("_u")))
-    staged = staged.withColumn("_words", F.filter(F.array(*[F.lit(w) for w in SUSPICIOUS.split()]), lambda w: F.contains(F.col("_u"), w)))
+    staged = staged.withColumn("_words", F.filter(F.array(*[F.lit(w) for w in SUSPICIOUS]), lambda w: F.contains(F.col("_u"), w)))
     checks: list[tuple[Column, Column | float, Column]] = [
         (any_of(F.col("_host"), BRANDS) & ~any_of(F.col("_host"), OFFICIAL), 45.0, F.concat(F.lit("brand on a foreign host: "), "_host")),
         (F.size("_words") > 0, F.size("_words") * 12.0, F.concat(F.lit("keywords: "), F.array_join("_words", ", "))),
@@ -40,6 +40,11 @@ def with_points(df: DataFrame, url: str = "url") -> DataFrame:
     return staged.withColumn("reasons", text).drop("_u", "_host", "_words", "_reasons")
 
 
+def bare_name(name: Column) -> Column:
+    """An engine's name without case, blanks and punctuation."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
 def engine_score(points: Column, name: Column) -> Column:
     """An engine's own score: the points, moved a little by the character sum of its name."""
     return F.least(F.lit(99.9), F.greatest(F.lit(0.1), points + (code_sum(name) % 7 - 3) * 0.8))
@@ -80,31 +85,64 @@ def pooled(votes: DataFrame, keys: list[str], votes_needed: int = VOTES_NEEDED)
     )
 
 
-def pooled_in_row(df: DataFrame, engines: DataFrame, at_most: int = 1000) -> DataFrame:
-    """The same for the engines' own scores of ``points`` without leaving the row: no join, no shuffle.
-
-    The catalog becomes part of the expression; one of more than AT_MOST engines is refused.
-    """
-    rows = engines.select("name", F.coalesce("reliability", F.lit(UNKNOWN_RELIABILITY)).alias("reliability")).limit(at_most + 1).collect()
+def listed_engines(engines: DataFrame, at_most: int = 1000) -> list[tuple[str, float, float]]:
+    """(name, reliability, shift of its score) of the catalog, in its order; one of more than AT_MOST engines is refused."""
+    rows = engines.orderBy("ord").select("name", F.coalesce("reliability", F.lit(UNKNOWN_RELIABILITY)).alias("reliability")).limit(at_most + 1).collect()
     if len(rows) > at_most:
         raise ValueError(f"more than {at_most} engines")
-    catalog = F.array(*[F.struct(F.lit((sum(map(ord, r["name"])) % 7 - 3) * 0.8).alias("shift"), F.lit(float(r["reliability"])).alias("weight")) for r in rows])
-    moved = F.transform(catalog, lambda e: F.struct(F.least(F.lit(99.9), F.greatest(F.lit(0.1), F.col("points") + e["shift"])).alias("score"), e["weight"].alias("weight")))
-    staged = df.withColumn("_scores", moved)
-    zero = F.struct(F.lit(0).alias("votes"), F.lit(0.0).alias("odds"), F.lit(0.0).alias("weight"))
-    add = lambda a, e: F.struct(
-        (a["votes"] + (e["score"] >= 50).cast("int")).alias("votes"), (a["odds"] + log_odds(e["score"]) * e["weight"]).alias("odds"), (a["weight"] + e["weight"]).alias("weight")
-    )
-    staged = staged.withColumn("_sum", F.aggregate("_scores", zero, add))
-    n = len(rows)
-    votes = F.col("_sum.votes")
-    return (
-        staged.withColumn("phishing_votes", votes)
-        .withColumn("llm_score", F.round(100 / (1 + F.exp(-F.col("_sum.odds") / F.greatest(F.lit(0.1), F.col("_sum.weight")))), 1))
-        .withColumn("agreement", F.round(F.greatest(votes, n - votes) / F.lit(float(max(1, n))) * 100, 1))
-        .withColumn("consensus", F.when(votes >= VOTES_NEEDED, "PHISHING").otherwise("LEGITIMATE"))
-        .drop("_scores", "_sum")
-    )
+    return [(r["name"], float(r["reliability"]), (sum(map(ord, r["name"])) % 7 - 3) * 0.8) for r in rows]
+
+
+def shifted(points: Column, shift: float) -> Column:
+    return F.least(F.lit(99.9), F.greatest(F.lit(0.1), points + shift))
+
+
+def pooled_in_row(df: DataFrame, engines: DataFrame) -> DataFrame:
+    """The same for the engines' own scores of ``points`` without leaving the row: no join, no shuffle, no lambda.
+
+    Engines differ in one of seven shifts of the points, so there is one score a shift, whatever the number of engines.
+    """
+    listed = listed_engines(engines)
+    shifts = sorted({s for _, _, s in listed})
+    score = {s: shifted(F.col("points"), s) for s in shifts}
+    votes = sum((F.when(score[s] >= 50, sum(1 for _, _, t in listed if t == s)).otherwise(0) for s in shifts), F.lit(0))
+    odds = sum((log_odds(score[s]) * sum(r for _, r, t in listed if t == s) for s in shifts), F.lit(0.0))
+    weight, n = max(0.1, sum(r for _, r, _ in listed)), len(listed)
+    staged = df.withColumn("phishing_votes", votes.cast("bigint")).withColumn("llm_score", F.round(100 / (1 + F.exp(-odds / weight)), 1))
+    votes = F.col("phishing_votes")
+    staged = staged.withColumn("legitimate_votes", n - votes).withColumn("agreement", F.round(F.greatest(votes, n - votes) / F.lit(float(max(1, n))) * 100, 1))
+    return staged.withColumn("consensus", F.when(votes >= VOTES_NEEDED, "PHISHING").otherwise("LEGITIMATE"))
+
+
+def evidence_in_row(df: DataFrame, engines: DataFrame, first: int = 4) -> DataFrame:
+    """Adds ``evidence``, as :func:`evidence` has it, for the engines' own scores of ``points``; null where no engine votes PHISHING."""
+    said = [F.when(shifted(F.col("points"), s) >= 50, F.concat(F.lit(f"[{name}] "), "reasons")) for name, _, s in listed_engines(engines)]
+    texts = F.slice(F.array_compact(F.array(*said) if said else F.array().cast("array<string>")), 1, first)
+    return df.withColumn("evidence", F.nullif(F.array_join(texts, " | "), F.lit("")))
+
+
+# How the two verdicts are written, after lower case and without anything but letters.
+SAYS_PHISHING = ("phishing", "phish", "malicious", "notlegitimate", "malware", "scam", "fraud", "fraudulent", "unsafe", "notsafe", "notbenign", "bad")
+SAYS_LEGITIMATE = ("legitimate", "legit", "safe", "benign", "notphishing", "notphish", "notmalicious", "clean", "harmless", "good", "ok")
+
+
+def read_answers(answers: DataFrame) -> DataFrame:
+    """``scan_id, engine, verdict, score``: one answer of each engine on each scan, from ANSWERS as engines and tools wrote them.
+
+    Engines are told by their bare names, verdicts read in any spelling, scores of an engine that mostly stays within
+    0 to 1 brought to percent and others left out beyond 0 to 100. Of repeated calls and deliveries the latest counts.
+    An answer with neither verdict nor score is none; without a verdict the score speaks, from 50 on for PHISHING.
+    """
+    when = [c for c in ("answered_at", "result_id") if c in answers.columns]
+    word = F.regexp_replace(F.regexp_replace(F.lower("verdict"), r'"?verdict"?\s*:', ""), "[^a-z]+", "")
+    rows = answers.select("scan_id", bare_name(F.col("engine")).alias("engine"), word.alias("_w"), F.col("threat_score").cast("double").alias("_s"), *when)
+    rows = rows.filter("scan_id is not null and engine is not null and engine != ''")
+    scales = rows.groupBy("engine").agg((2 * F.count_if(F.col("_s").between(0, 1)) > F.count_if(F.col("_s").between(0, 100))).alias("_unit"))
+    score = F.when(F.col("_unit") & F.col("_s").between(0, 1), F.col("_s") * 100).when(~F.col("_unit") & F.col("_s").between(0, 100), F.col("_s"))
+    verdict = F.when(F.col("_w").isin(*SAYS_PHISHING), "PHISHING").when(F.col("_w").isin(*SAYS_LEGITIMATE), "LEGITIMATE").when(F.col("score") >= 50, "PHISHING").when(F.col("score").isNotNull(), "LEGITIMATE")
+    read = rows.join(scales, "engine").withColumn("score", score).withColumn("verdict", verdict).filter("verdict is not null or score is not null")
+    last = F.max(F.struct(*when, "verdict", "score")).alias("_a")
+    return read.groupBy("scan_id", "engine").agg(last).select("scan_id", "engine", "_a.verdict", "_a.score")
 
 
 def compared(votes: DataFrame, keys: list[str], digits: int = 1) -> DataFrame:
@@ -123,11 +161,6 @@ def evidence(votes: DataFrame, keys: list[str], first: int = 4) -> DataFrame:
     return top.groupBy(*keys).agg(F.array_join(listed, " | ").alias("evidence"))
 
 
-def bare_name(name: Column) -> Column:
-    """An engine's name without case, blanks and punctuation."""
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-
-
 def by_catalog_name(answers: DataFrame, engines: DataFrame, name: str) -> DataFrame:
     """ANSWERS with NAME as the catalog spells it, by bare names; answers of engines that it does not list are left out."""
     catalog = engines.select("ord", F.col("name").alias("_engine"), bare_name(F.col("name")).alias("_bare")).filter("_bare != ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lurescope.operators.dataset import by_hash
 from lurescope.operators.evaluation import confusion
+from lurescope.sources.registry import append_models
 
 
 def numeric_features(df: DataFrame, without: tuple[str, ...]) -> list[str]:
@@ -40,3 +43,16 @@ def retrained(df: DataFrame, key: str, label: str = "label") -> tuple[PipelineMo
     train, test = parted(df, key)
     model = trained(train, numeric_features(df, (key, label)), label)
     return model, confusion(predicted(model, test, key, label), "prob", label)
+
+
+def retrained_and_registered(df: DataFrame, key: str, registry: str, weights: str, name: str = "tabular classifier", version: str | None = None, label: str = "label") -> DataFrame:
+    """Trains, writes the model to WEIGHTS and appends its measured values to REGISTRY; the measures.
+
+    The VERSION is the time of training unless one is given, so that later models sort behind earlier ones.
+    """
+    model, measures = retrained(df, key, label)
+    model.write().overwrite().save(weights)
+    version = version or datetime.now(timezone.utc).strftime("v%Y.%m.%d.%H%M%S")
+    found = measures.select(F.lit(name).alias("model_name"), F.lit(version).alias("version"), "accuracy", "precision", "recall", F.col("f1").alias("f1_score"), F.lit(weights).alias("weights_filepath"))
+    append_models(found, registry)
+    return measures

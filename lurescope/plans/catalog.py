@@ -13,7 +13,8 @@ from lurescope.functions.scripts import markup_flags, with_script_signals
 from lurescope.functions.urls import char_tokens, code_sum, for_corpus, for_parsing, with_domain
 from lurescope.operators import dataset, dom, evaluation, fusion, graph, panel, vectors
 from lurescope.operators import training as learning
-from lurescope.plans.oracle import SNIPPETS, SQL  # noqa: F401
+from lurescope.plans import oracle, oracle_scores
+from lurescope.plans.oracle_pages import SNIPPETS
 from lurescope.session import table
 from lurescope.sources.pages import crawled
 from lurescope.sources.registry import latest_deliveries, opened_scores
@@ -21,6 +22,7 @@ from lurescope.streaming.scoring import drift_stream
 
 MAIN = "merged_phishing_multimodal_dataset"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL = {**oracle.SQL, **oracle_scores.SQL}
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -40,16 +42,10 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     """``page_id, url, html``: the documents' whole texts, all of them, most behind a snippet of markup."""
     n, html = len(SNIPPETS), F.col("text")
     for k, snippet in enumerate(SNIPPETS):
-        html = F.when(F.col("doc_id") % (n + 2) == k, F.concat(F.lit(snippet), F.coalesce("text", F.lit("")))).otherwise(html)
+        html = F.when(F.pmod("doc_id", F.lit(n + 2)) == k, F.concat(F.lit(snippet), F.coalesce("text", F.lit("")))).otherwise(html)
     return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://"), "site_host").alias("url"), html.alias("html"))
 
 
-def pages_in_sql(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`pages` as the SQL states them: empty for the last remainder of doc_id and for a negative or null one, whatever the text."""
-    n = len(SNIPPETS)
-    return pages(spark, d).withColumn("html", F.when((F.col("page_id") % (n + 2)).between(0, n), F.col("html")).otherwise(""))
-
-
 def panel_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = training(spark, d).select("record_id", "url", "sfh_external", "iframe_hidden", "url_of_anchor_ratio")
     return fusion.with_lexical(rows)
@@ -83,12 +79,12 @@ def keyword_intent_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def js_signal_counts(spark: SparkSession, d: str) -> DataFrame:
-    return with_script_signals(pages_in_sql(spark, d), "html").drop("url", "html")
+    return with_script_signals(pages(spark, d), "html").drop("url", "html")
 
 
 @query
 def html_string_flags(spark: SparkSession, d: str) -> DataFrame:
-    return pages_in_sql(spark, d).select("page_id", *scores.columns(markup_flags(F.coalesce("html", F.lit("")))))
+    return pages(spark, d).select("page_id", *scores.columns(markup_flags(F.coalesce("html", F.lit("")))))
 
 
 @query
@@ -111,6 +107,15 @@ def dom_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return dom.graph_edges(dom.node_features(pages(spark, d), "page_id", "html", "url"), "page_id")
 
 
+@query
+def dom_node_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features of real elements, the one-hot place as a number."""
+    nodes = dom.node_features(pages(spark, d), "page_id", "html", "url").filter("stand_in is null")
+    at = lambda k: F.round(F.element_at("x", k + 1), 6)
+    place = F.array_position(F.slice("x", 1, 10), 1.0).cast("int") - 1
+    return nodes.select("page_id", "idx", place.alias("place"), at(11).alias("external"), at(12).alias("hides"), at(10).alias("depth"), at(13).alias("children"))
+
+
 @query
 def graph_model_scores(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_scores(dom.node_features(pages(spark, d), "page_id", "html", "url"), "page_id")
@@ -173,11 +178,35 @@ def image_hash_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_visual_verdict(spark: SparkSession, d: str) -> DataFrame:
-    staged = vectors.with_image_hash(urls(spark, d)).withColumn("_u", F.lower("url"))
-    staged = staged.select("record_id", "image_score", "image_phishing", *scores.columns({**scores.brand_logo(F.col("_u")), **scores.page_layout(F.col("_u"))}))
-    bad = F.col("image_phishing") | (F.col("logo_similarity") > 0.85)
-    visual = scores.visual_score(F.col("image_score"), F.col("logo_score"), F.col("layout_score"))
-    return staged.select("record_id", F.when(bad, "PHISHING").otherwise("BENIGN").alias("verdict"), visual.alias("visual_score"), F.when(bad, F.col("brand")).otherwise("None").alias("brand"))
+    return vectors.hybrid_visual(urls(spark, d), "record_id")
+
+
+@query
+def screenshot_report(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.screenshot_report(urls(spark, d), "record_id")
+
+
+@query
+def member_predictions(spark: SparkSession, d: str) -> DataFrame:
+    return ruled(spark, d, scores.members)
+
+
+@query
+def ensemble_importances(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(scores.IMPORTANCES, "feature string, importance double")
+
+
+@query
+def dns_report(spark: SparkSession, d: str) -> DataFrame:
+    facts = scores.whois(F.lower("url"))
+    return with_domain(urls(spark, d)).select("record_id", "domain", *scores.columns({k: facts[k] for k in ("has_mx_record", "has_spf_record")}))
+
+
+@query
+def text_report(spark: SparkSession, d: str) -> DataFrame:
+    """The text model's sub-report with the first two codes it reads and how many of its 128 places a URL fills."""
+    said, tokens = scores.text_intent(F.lower("url")), char_tokens(F.col("url"))
+    return urls(spark, d).select("record_id", said["text_score"].alias("text_score"), said["intent"].alias("intent"), F.array_join(F.slice(tokens, 1, 2), ",").alias("first_codes"), F.size(F.filter(tokens, lambda c: c > 0)).alias("filled"))
 
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
@@ -201,18 +230,19 @@ def engine_lookup_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def consensus_pooling(spark: SparkSession, d: str) -> DataFrame:
-    return panel.pooled(votes(spark, d), ["record_id"])
+    rows = panel.pooled_in_row(panel.with_points(panel_rows(spark, d)), table(spark, d, "engines"))
+    return rows.select("record_id", "phishing_votes", "legitimate_votes", F.col("llm_score").alias("pooled_score"), "agreement", "consensus")
 
 
 @query
 def engine_comparison(spark: SparkSession, d: str) -> DataFrame:
-    answers = table(spark, d, "engine_results").select("scan_id", F.col("threat_score").alias("score"), "verdict")
-    return panel.compared(answers, ["scan_id"], 6)
+    return panel.compared(panel.read_answers(table(spark, d, "engine_results")), ["scan_id"], 6)
 
 
 @query
 def evidence_top4(spark: SparkSession, d: str) -> DataFrame:
-    return panel.evidence(votes(spark, d), ["record_id"])
+    rows = panel.evidence_in_row(panel.with_points(panel_rows(spark, d)), table(spark, d, "engines"))
+    return rows.filter("evidence is not null").select("record_id", "evidence")
 
 
 def reports(spark: SparkSession, d: str, image: bool = False) -> DataFrame:
@@ -256,6 +286,13 @@ def batch_scan_report(spark: SparkSession, d: str) -> DataFrame:
     return fusion.batch_scan(scans, table(spark, d, "engines"))
 
 
+@query
+def batch_scan_first10(spark: SparkSession, d: str) -> DataFrame:
+    """The batch route: the first ten of the list, of which blanks are then left out; the limit is the feature."""
+    scans = table(spark, d, "scan_results").select("id", "ingested_at", F.col("target_url").alias("url"))
+    return fusion.batch_scan(scans, table(spark, d, "engines"), first=10, order=["id", "ingested_at"])
+
+
 @query
 def class_balance(spark: SparkSession, d: str) -> DataFrame:
     return dataset.balance(training(spark, d))
@@ -323,6 +360,48 @@ def shuffled_split(spark: SparkSession, d: str) -> DataFrame:
     return dataset.ordered_split(training(spark, d).select("record_id"), "record_id", shuffled=42)
 
 
+@query
+def bounded_samples(spark: SparkSession, d: str) -> DataFrame:
+    """At most 1,000 rows of the training part and 400 of the test part; the bounds are the feature."""
+    parts = dataset.ordered_split(training(spark, d).select("record_id"), "record_id", shuffled=42)
+    return dataset.bounded_sample(parts.filter("part = 'train'"), "record_id", 1000).unionByName(dataset.bounded_sample(parts.filter("part = 'test'"), "record_id", 400))
+
+
+@query
+def source_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.source_catalog(spark)
+
+
+@query
+def fallback_rows(spark: SparkSession, d: str) -> DataFrame:
+    bad, good = dataset.corpus_by_class(dataset.fallback_corpus(spark), "URL", "Label")
+    return bad.unionByName(good).groupBy("url", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def training_set(spark: SparkSession, d: str) -> DataFrame:
+    """A training set built anew from the addresses of the table: 10,000 rows where it has as many."""
+    raw = training(spark, d).filter("label is not null").select("url", F.when(F.col("label") == 1, "Bad").otherwise("good").alias("label"))
+    return dataset.training_set(raw, "url", "label")
+
+
+@query
+def feature_means(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.feature_means(training(spark, d).drop("record_id"))
+
+
+@query
+def epoch_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and accuracy of five rounds of predictions, here a feature that gets the more weight the later the round."""
+    each = training(spark, d).select("label", "url_of_anchor_ratio", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("epoch"))
+    return evaluation.epoch_measures(each.withColumn("prob", F.col("url_of_anchor_ratio") * F.col("epoch") / 5), "epoch", "prob", "label")
+
+
+@query
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.found(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_name", "Customer#000000007")
+
+
 @query
 def source_union(spark: SparkSession, d: str) -> DataFrame:
     frames = {"training": training(spark, d).select("url"), "scans": table(spark, d, "scan_results").select(F.col("target_url").alias("url"))}
@@ -388,9 +467,9 @@ def trained_classifier_quality(spark: SparkSession, d: str) -> DataFrame:
 def replied_consensus(spark: SparkSession, d: str) -> DataFrame:
     """The panel with the recorded answers of engines on training rows of the same address in place of rule scores."""
     scans = latest_deliveries(table(spark, d, "scan_results").select("id", "target_url", "ingested_at"), "id", "ingested_at").select(F.col("id").alias("scan_id"), F.col("target_url").alias("url"))
-    recorded, engines = table(spark, d, "engine_results").select("scan_id", "engine", "verdict", "threat_score"), table(spark, d, "engines")
-    answers = panel.by_catalog_name(recorded, engines, "engine").groupBy("scan_id", "engine").agg(F.max(F.struct("threat_score", "verdict")).alias("a"))
-    raw = F.to_json(F.struct(F.col("a.threat_score").alias("threat_score"), F.col("a.verdict").alias("verdict")))
+    recorded, engines = table(spark, d, "engine_results"), table(spark, d, "engines")
+    answers = panel.by_catalog_name(panel.read_answers(recorded), engines, "engine")
+    raw = F.to_json(F.struct(F.col("score").alias("threat_score"), "verdict"))
     asked = fusion.with_lexical(scans.join(recorded.select("scan_id").distinct(), "scan_id", "left_semi"))
     given = answers.select("scan_id", "engine", raw.alias("reply"))
     each = panel.fan_out(panel.with_points(asked), engines).select("scan_id", "engine", "ord", "reliability", "score", "verdict", "reasons")

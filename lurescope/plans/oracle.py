@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
-from lurescope.functions.rules import BRANDS, OFFICIAL, RULES, SUSPICIOUS
-from lurescope.functions.scores import CLASSICAL
-from lurescope.functions.scripts import COUNTS
-from lurescope.functions.urls import SHORTENERS
+from lurescope.plans.oracle_pages import FETCHED_PAGES, PAGES_SQL
+
+# Fixed values, stated here on their own so that the SQL does not take them from the code it checks.
+RULES = {
+    "whois_young": (("paypal", "verify", "secure", "login", "update", "bank", "account", "000webhost", "xyz", "top", "club"), ()),
+    "whois_known": (("google.com", "github.com", "microsoft.com", "apple.com", "amazon.com", "wikipedia.org"), ()),
+    "ssl": (("paypal", "login", "verify", "update", "bank"), ("paypal.com", "google.com")),
+    "threat_intel": (("paypal", "verify", "signin", "login", "update", "bank", "account"), ("paypal.com", "google.com", "microsoft.com")),
+    "classical": (("paypal", "verify", "signin", "login", "update", "bank", "account"), ("paypal.com", "google.com", "microsoft.com")),
+    "anomaly": (("paypal", "verify", "signin", "login", "update", "bank"), ("paypal.com", "google.com")),
+    "text_intent": (("paypal", "verify", "signin", "login", "update", "bank", "account"), ("paypal.com", "google.com")),
+    "image_hash": (("paypal", "verify", "login", "bank", "account"), ()),
+    "brand_logo": (("paypal", "login", "verification", "secure", "bank"), ("paypal.com", "google.com", "microsoft.com")),
+    "page_layout": (("paypal", "verify", "login", "account"), ("paypal.com", "google.com")),
+    "browser_fallback": (("paypal", "login", "verify", "security"), ()),
+}
+SUSPICIOUS = ("login", "verify", "secure", "account", "update", "bank", "paypal", "apple", "chase", "signin", "support", "billing", "recover", "crypto", "wallet", "2fa")
+BRANDS = ("paypal", "apple", "microsoft", "google", "chase", "bankofamerica", "netflix", "binance", "metamask")
+OFFICIAL = ("paypal.com", "apple.com", "microsoft.com", "google.com", "chase.com", "bankofamerica.com", "netflix.com", "binance.com", "metamask.io")
+CLASSICAL = {
+    "xgboost": (99.4, 0.1, 0.25),
+    "random_forest": (97.8, 0.3, 0.2),
+    "catboost": (98.5, 0.1, 0.2),
+    "lightgbm": (97.1, 0.2, 0.15),
+    "extra_trees": (96.8, 0.4, 0.1),
+    "svm": (95.4, 0.5, 0.1),
+}
+COUNTS = {
+    "eval_count": r"\beval\s*\(",
+    "base64_count": r"atob\s*\(|btoa\s*\(|data:text/html;base64",
+    "document_write_count": r"document\.write\s*\(",
+    "redirect_count": r"window\.location|location\.href",
+    "fetch_count": r"fetch\s*\(|xmlhttprequest",
+    "websocket_count": r"new\s+websocket\s*\(",
+    "timer_count": r"settimeout\s*\(|setinterval\s*\(",
+    "handler_count": r"onmouseover|oncontextmenu|oncopy|onpaste|keydown",
+}
+SHORTENERS = r"bit\.ly|goo\.gl|tinyurl|tiny\.cc|is\.gd|cli\.gs|yfrog|ow\.ly|t\.co|bit\.do|short\.to|buff\.ly|adf\.ly"
 
 MAIN = "merged_phishing_multimodal_dataset"
-#: Markup put before the texts of documents, by doc_id modulo their number plus two; the next keeps the text, the last is empty.
-SNIPPETS = (
-    '<form action="http://other.test/x"><input type="password" name="p"></form>',
-    '<script>eval(atob("x"));window.location="a";location.href="b";fetch("/a");fetch("/b");fetch("/c")</script>',
-    '<iframe style="display:none" src="http://frame.test/"></iframe><a href="#">x</a><a href="http://away.test/">y</a>',
-    '<body onmouseover="window.status=1" oncontextmenu="return false" oncopy="x"><img src="http://img.test/a.png"><img src="/b.png">',
-)
 
 
-def _any(text: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words.split()) + ")"
+def _any(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
 def _hit(rule: str, text: str = "u") -> str:
@@ -44,7 +71,7 @@ LEX = rf"""{PARSED}, lex AS (SELECT record_id, url, domain, sfh_external, iframe
   CAST(contains(domain, '-') AS DOUBLE) AS prefix_suffix,
   CASE WHEN length(domain) - length(replace(domain, '.', '')) > 3 THEN 1.0::DOUBLE WHEN length(domain) - length(replace(domain, '.', '')) = 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS having_sub_domain,
   CAST(contains(lower(domain), 'https') AS DOUBLE) AS https_token, CAST(NOT contains(lower(url), lower(domain)) AS DOUBLE) AS abnormal_url FROM named)"""
-_WORDS = SUSPICIOUS.split()
+_WORDS = SUSPICIOUS
 POINTS = rf"""{LEX}, hosts AS (SELECT *, lower(url) AS u, CASE WHEN regexp_extract(lower(url), 'https?://([^/]+)', 1) <> '' THEN regexp_extract(lower(url), 'https?://([^/]+)', 1) ELSE lower(url) END AS host FROM lex),
 words AS (SELECT *, list_filter([{", ".join(f"'{w}'" for w in _WORDS)}], lambda w: contains(u, w)) AS hits, {_any("host", BRANDS)} AND NOT {_any("host", OFFICIAL)} AS branded FROM hosts),
 pointed AS (SELECT *, least(99.9, greatest(0.1, CASE WHEN branded THEN 45 ELSE 0 END + 12 * len(hits) + CASE WHEN having_ip_address > 0 THEN 30 ELSE 0 END
@@ -87,14 +114,8 @@ def _pick(rule: str, high: str, low: str) -> str:
     return f"CASE WHEN {_hit(rule)} THEN {high} ELSE {low} END"
 
 
-def _pages(snippets: list[str]) -> str:
-    n = len(snippets) + 2
-    cases = " ".join(f"WHEN doc_id % {n} = {k} THEN '{s}' || coalesce(text, '')" for k, s in enumerate(snippets))
-    return f"pages AS (SELECT doc_id AS page_id, CASE {cases} WHEN doc_id % {n} = {n - 2} THEN text ELSE '' END AS html FROM documents)"
-
-
-def sql(snippets: list[str]) -> dict[str, str]:
-    pages = _pages(snippets)
+def sql() -> dict[str, str]:
+    pages = FETCHED_PAGES
     counts = ", ".join(f"CAST(len(regexp_extract_all(script, '{p}')) AS INTEGER) AS {k}" for k, p in COUNTS.items())
     fields = "having_ip_address, url_length, url_length_score, shortening_service, having_at_symbol, double_slash_redirecting, prefix_suffix, having_sub_domain, https_token, abnormal_url"
     counted = "count(*) AS rows, count(*) FILTER (label = 1) AS phishing, count(*) FILTER (label = 0) AS legitimate"
@@ -159,8 +180,6 @@ def sql(snippets: list[str]) -> dict[str, str]:
           known AS (SELECT ord, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM engines)
           SELECT asked, coalesce((SELECT arg_min(name, ord) FROM known WHERE contains(k, b)), (SELECT arg_min(name, ord) FROM known)) AS engine FROM names""",
         "consensus_pooling": f"WITH {VOTES} SELECT * FROM pooled",
-        "engine_comparison": """SELECT scan_id, count(*) AS engines, count(*) FILTER (verdict = 'PHISHING') AS phishing_votes, round(avg(threat_score), 6) AS mean_score,
-          CASE WHEN count(*) FILTER (verdict = 'PHISHING') * 2 >= count(*) THEN 'PHISHING' ELSE 'LEGITIMATE' END AS verdict FROM engine_results GROUP BY scan_id""",
         "evidence_top4": f"""WITH {VOTES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ord) AS r FROM voted WHERE verdict = 'PHISHING')
           SELECT record_id, string_agg('[' || engine || '] ' || reasons, ' | ' ORDER BY r) AS evidence FROM ranked WHERE r <= 4 GROUP BY record_id""",
         "fusion_verdict": f"WITH {FUSED} SELECT record_id, llm_score, visual_score, round(intel_score, 6) AS intel_score, verdict, threat_score, risk_level, attack_category, confidence, action FROM report",
@@ -201,4 +220,4 @@ def sql(snippets: list[str]) -> dict[str, str]:
     }
 
 
-SQL = sql(list(SNIPPETS))
+SQL = {**sql(), **PAGES_SQL}

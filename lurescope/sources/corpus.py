@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lurescope.operators.dataset import fallback_corpus
 
 RAW = T.StructType([T.StructField("URL", T.StringType()), T.StructField("Label", T.StringType())])
+# The feature columns of a training table, in order.
 _DOUBLES = (
-    "having_ip_address url_length url_length_score shortening_service having_at_symbol double_slash_redirecting prefix_suffix having_sub_domain ssl_state "
-    "domain_registration_length favicon port https_token request_url_ratio url_of_anchor_ratio links_in_tags_ratio sfh_external submitting_to_email abnormal_url "
-    "redirect_count on_mouseover right_click_disabled popup_window iframe_hidden age_of_domain dns_record web_traffic page_rank google_index links_pointing_to_page "
-    "statistical_report dom_node_count dom_max_depth graph_avg_degree"
-).split()
+    "having_ip_address", "url_length", "url_length_score", "shortening_service", "having_at_symbol",
+    "double_slash_redirecting", "prefix_suffix", "having_sub_domain", "ssl_state", "domain_registration_length",
+    "favicon", "port", "https_token", "request_url_ratio", "url_of_anchor_ratio",
+    "links_in_tags_ratio", "sfh_external", "submitting_to_email", "abnormal_url", "redirect_count",
+    "on_mouseover", "right_click_disabled", "popup_window", "iframe_hidden", "age_of_domain",
+    "dns_record", "web_traffic", "page_rank", "google_index", "links_pointing_to_page",
+    "statistical_report", "dom_node_count", "dom_max_depth", "graph_avg_degree",
+)
 TRAINING = T.StructType(
     [T.StructField("url", T.StringType()), T.StructField("dataset_source", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in _DOUBLES], T.StructField("label", T.IntegerType())]
 )
@@ -34,3 +41,11 @@ def raw_corpus(spark: SparkSession, path: str | None) -> DataFrame:
 def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite").partitionBy(*(partition_by or []))
     writer.csv(path, header=True) if form == "csv" else writer.format(form).save(path)
+
+
+def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], schema: T.StructType = TRAINING) -> DataFrame:
+    """The table at PATH, which is built and written first where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):  # noqa: SLF001
+        write_table(build().select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), path)
+    return read_table(spark, path, schema, "parquet")

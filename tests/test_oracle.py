@@ -7,8 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lurescope.plans.catalog import QUERIES
-from lurescope.plans.oracle import SQL
+from lurescope.plans.catalog import QUERIES, SQL
 
 
 def rounded(v):

@@ -2,7 +2,7 @@
 
 from lurescope.operators import dom
 from lurescope.plans import catalog
-from lurescope.plans.oracle import SNIPPETS
+from lurescope.plans.oracle_pages import SNIPPETS
 
 DOCS = "doc_id bigint, text string, site_host string"
 
