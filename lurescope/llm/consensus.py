@@ -62,26 +62,36 @@ def bound(errors: Column, n: Column) -> Column:
     return F.least(upper(F.least(errors, n - errors), n), F.lit(0.5))
 
 
-def weights(sums: DataFrame, prior: float, per_label: bool = True) -> DataFrame:
+def weights(sums: DataFrame, per_label: bool = True) -> DataFrame:
     """Per annotator the bounds of its error variances, and by how much a claim of 1 or 0 brings label 1 nearer than label 0.
 
     The weight of an annotator is the log odds of being right at the bound: few answers give a bound near 1/2 and no
     weight, however well they agree; many give what they show. A label's distance is the weighted sum of its distances
-    to the claims, turned for annotators that are mostly wrong. PRIOR is the log odds of label 1 among all items. With
-    PER_LABEL the errors on items of either label have a variance of their own, otherwise both have one.
+    to the claims, turned for annotators that are mostly wrong. With PER_LABEL the errors on items of either label have
+    a variance of their own, otherwise both have one.
     """
     e1, n1, e0, n0 = (F.col(k) for k in ("e1", "n1", "e0", "n0"))
     if not per_label:
         e1, n1, e0, n0 = e1 + e0, n1 + n0, e1 + e0, n1 + n0
-    staged = sums.select("annotator", "answers", bound(e1, n1).alias("b1"), bound(e0, n0).alias("b0"), (2 * e1 > n1).alias("t1"), (2 * e0 > n0).alias("t0"))
+    staged = sums.select("annotator", "answers", "yes", "items", bound(e1, n1).alias("b1"), bound(e0, n0).alias("b0"), (2 * e1 > n1).alias("t1"), (2 * e0 > n0).alias("t0"))
     w = lambda b, turned: F.when(turned, F.log((1 - b) / b)).otherwise(0.0)
     turned = lambda b, t: F.when(t, 1 - b).otherwise(b)
     return staged.select(
-        "annotator", "answers", turned(F.col("b1"), F.col("t1")).alias("miss"), turned(F.col("b0"), F.col("t0")).alias("alarm"),
-        (w(F.col("b0"), ~F.col("t0")) - w(F.col("b1"), F.col("t1"))).alias("for_yes"), (w(F.col("b0"), F.col("t0")) - w(F.col("b1"), ~F.col("t1"))).alias("for_no"), F.lit(prior).alias("prior"),
+        "annotator", "answers", "yes", "items", turned(F.col("b1"), F.col("t1")).alias("miss"), turned(F.col("b0"), F.col("t0")).alias("alarm"),
+        (w(F.col("b0"), ~F.col("t0")) - w(F.col("b1"), F.col("t1"))).alias("for_yes"), (w(F.col("b0"), F.col("t0")) - w(F.col("b1"), ~F.col("t1"))).alias("for_no"),
     )
 
 
+def judged(new: DataFrame, old: DataFrame | None) -> tuple[float, float, float]:
+    """(prior log odds of label 1, items, most that a bound moved since OLD) of annotators' weights: three numbers of one small job."""
+    moved = F.lit(math.inf)
+    if old is not None:
+        new = new.join(old.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a")), "annotator", "left")
+        moved = F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))
+    yes, items, far = new.agg(F.coalesce(F.sum("yes"), F.lit(0.0)), F.coalesce(F.sum("items"), F.lit(0.0)), moved).first()
+    return math.log((yes + 0.5) / (max(0.0, items - yes) + 0.5)), items, far or 0.0
+
+
 def believed(claims: DataFrame, weighted: DataFrame) -> DataFrame:
     """CLAIMS with ``margin``, by how much label 1 is nearer to all claims on their item, and ``t``, the nearer label; a reviewed one stays."""
     say = F.col("x") * F.col("for_yes") + (1 - F.col("x")) * F.col("for_no")
@@ -146,15 +156,12 @@ def discover(claims: DataFrame, known: DataFrame | None = None, rounds: int = 10
     held = patterns.repartition("item").sortWithinPartitions("item").persist(StorageLevel.MEMORY_AND_DISK)
     majority = F.coalesce("known", F.avg("x").over(Window.partitionBy("item"))) > 0.5
     sums = cut(sums_of(held.withColumn("t", majority.cast("double"))))
-    now, moved, done = None, math.inf, 0
+    now, done = None, 0
     while True:
-        yes, total = (v or 0.0 for v in sums.agg(F.sum("yes"), F.sum("items")).first())
-        new = weights(sums, math.log((yes + 0.5) / (max(0.0, total - yes) + 0.5)), per_label)
-        if now is not None:
-            old = now.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a"))
-            moved = new.join(old, "annotator").agg(F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))).first()[0] or 0.0
-        now = new
-        if moved <= settled or done == rounds or not total:
+        new = weights(sums, per_label)
+        prior, items_left, moved = judged(new, now)
+        now = new.withColumn("prior", F.lit(prior))
+        if moved <= settled or done == rounds or not items_left:
             break
         sums, done = cut(sums_of(believed(held, now))), done + 1
     labels = cut(believed(held, now).select(F.col("item").alias("pattern"), "margin", "t").distinct())
