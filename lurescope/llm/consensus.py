@@ -82,14 +82,16 @@ def weights(sums: DataFrame, per_label: bool = True) -> DataFrame:
     )
 
 
-def judged(new: DataFrame, old: DataFrame | None) -> tuple[float, float, float]:
-    """(prior log odds of label 1, items, most that a bound moved since OLD) of annotators' weights: three numbers of one small job."""
-    moved = F.lit(math.inf)
-    if old is not None:
-        new = new.join(old.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a")), "annotator", "left")
-        moved = F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))
-    yes, items, far = new.agg(F.coalesce(F.sum("yes"), F.lit(0.0)), F.coalesce(F.sum("items"), F.lit(0.0)), moved).first()
-    return math.log((yes + 0.5) / (max(0.0, items - yes) + 0.5)), items, far or 0.0
+def with_prior(weighted: DataFrame) -> DataFrame:
+    """WEIGHTED with ``prior``, the log odds of label 1 among all items: one row beside each, and no number in the plan, so that every round runs the same code."""
+    yes, items = F.sum("yes"), F.sum("items")
+    return weighted.crossJoin(weighted.agg(F.log((yes + 0.5) / (F.greatest(F.lit(0.0), items - yes) + 0.5)).alias("prior")))
+
+
+def most_moved(new: DataFrame, old: DataFrame) -> float:
+    """The most that a bound of an annotator differs between the two."""
+    both = new.join(old.select("annotator", F.col("miss").alias("_m"), F.col("alarm").alias("_a")), "annotator")
+    return both.agg(F.max(F.greatest(F.abs(F.col("miss") - F.col("_m")), F.abs(F.col("alarm") - F.col("_a"))))).first()[0] or 0.0
 
 
 def believed(claims: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -156,14 +158,12 @@ def discover(claims: DataFrame, known: DataFrame | None = None, rounds: int = 10
     held = patterns.repartition("item").sortWithinPartitions("item").persist(StorageLevel.MEMORY_AND_DISK)
     majority = F.coalesce("known", F.avg("x").over(Window.partitionBy("item"))) > 0.5
     sums = cut(sums_of(held.withColumn("t", majority.cast("double"))))
-    now, done = None, 0
-    while True:
+    now, moved, done = weights(sums, per_label), math.inf, 0
+    while moved > settled and done < rounds:
+        sums = cut(sums_of(believed(held, with_prior(now))))
         new = weights(sums, per_label)
-        prior, items_left, moved = judged(new, now)
-        now = new.withColumn("prior", F.lit(prior))
-        if moved <= settled or done == rounds or not items_left:
-            break
-        sums, done = cut(sums_of(believed(held, now))), done + 1
+        moved, now, done = most_moved(new, now), new, done + 1
+    now = with_prior(now)
     labels = cut(believed(held, now).select(F.col("item").alias("pattern"), "margin", "t").distinct())
     held.unpersist()
     return Truth(claims.join(items, "item").join(labels, "pattern").drop("pattern"), now, done, moved)
