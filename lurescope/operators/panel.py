@@ -116,9 +116,15 @@ def pooled_in_row(df: DataFrame, engines: DataFrame) -> DataFrame:
 
 def evidence_in_row(df: DataFrame, engines: DataFrame, first: int = 4) -> DataFrame:
     """Adds ``evidence``, as :func:`evidence` has it, for the engines' own scores of ``points``; null where no engine votes PHISHING."""
-    said = [F.when(shifted(F.col("points"), s) >= 50, F.concat(F.lit(f"[{name}] "), "reasons")) for name, _, s in listed_engines(engines)]
-    texts = F.slice(F.array_compact(F.array(*said) if said else F.array().cast("array<string>")), 1, first)
-    return df.withColumn("evidence", F.nullif(F.array_join(texts, " | "), F.lit("")))
+    listed = listed_engines(engines)
+
+    def said(row: Column) -> Column:
+        texts = [F.when(shifted(row["points"], s) >= 50, F.concat(F.lit(f"[{name}] "), row["reasons"])) for name, _, s in listed]
+        return F.array_join(F.slice(F.array_compact(F.array(*texts)), 1, first), " | ")
+
+    # A lambda over one row, so that points and reasons are computed once and not once an engine.
+    text = F.transform(F.array(F.struct("points", "reasons")), said)[0] if listed else F.lit(None).cast("string")
+    return df.withColumn("evidence", F.nullif(text, F.lit("")))
 
 
 # How the two verdicts are written, after lower case and without anything but letters.
